@@ -123,3 +123,22 @@ def segment_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def list_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes from one start to the next (the last to the end)."""
+    n = len(data)
+    total = np.empty(n + 1, U)
+    total[0] = 0
+    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
+    ends = np.append(starts[1:], n)
+    h = (total[ends] - total[starts]) * _powers(_INVERSE, n)[starts]
+    h += (ends - starts).astype(U) * _MULT[63]
+    return mix(h)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The concatenation of flat[start : start + count] for each pair."""
+    off = np.cumsum(count)
+    total = int(off[-1]) if len(off) else 0
+    return flat[np.repeat(start - (off - count), count) + np.arange(total)]
