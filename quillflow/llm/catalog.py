@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillflow.llm.decontaminate import op3_decontaminate
 from quillflow.llm.minhash import op1_minhash
 from quillflow.llm.packing import op9_packing
+from quillflow.llm.secrets import op8_secrets
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_decontaminate, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_decontaminate, op8_secrets, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
