@@ -193,6 +193,25 @@ def block_links(percent: int):
     return run
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the documents that near_duplicates() keeps.
+
+    Rows that repeat an id are one document, of which one row stays. Rows without an id stay.
+    """
+    found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col), "found")
+    key = F.col(id_col).cast("long")
+
+    def among(ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("_drop")).distinct()
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key == F.col("_drop"), how)
+
+    gone = found.where("not kept").select("doc_id")
+    again = stage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"), "again")
+    if again.isEmpty():
+        return among(gone, "left_anti")
+    return among(gone.union(again.select("doc_id")), "left_anti").unionByName(among(again, "left_semi").dropDuplicates([id_col]))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of ``documents``: 5-word shingles, similarity 0.75."""
     return near_duplicates(table(spark, sf_dir, "documents"))
