@@ -8,6 +8,7 @@ from quillflow.llm.language import op4_language
 from quillflow.llm.minhash import op1_minhash
 from quillflow.llm.packing import op9_packing
 from quillflow.llm.secrets import op8_secrets
+from quillflow.llm.sharding import op7_sharding
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op8_secrets, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op7_sharding, op8_secrets, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
