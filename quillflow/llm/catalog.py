@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from quillflow.llm.decontaminate import op3_decontaminate
 from quillflow.llm.fingerprint import op2_fingerprint
+from quillflow.llm.html import op5_html
 from quillflow.llm.language import op4_language
 from quillflow.llm.minhash import op1_minhash
 from quillflow.llm.packing import op9_packing
 from quillflow.llm.secrets import op8_secrets
 from quillflow.llm.sharding import op7_sharding
+from quillflow.llm.urls import op6_urls
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op7_sharding, op8_secrets, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
