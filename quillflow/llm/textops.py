@@ -82,12 +82,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
     start[1:] &= ~word[:-1] | edge[1:n]
     end[:-1] &= ~word[1:] | edge[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    total = np.empty(n + 1, U)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INVERSE, n)[starts]
-    h += (ends - starts).astype(U) * _MULT[63]
-    return mix(h), np.searchsorted(starts, off)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, off)
 
 
 def shingles(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,18 +120,22 @@ def list_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each run of bytes from one start to the next (the last to the end)."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
     n = len(data)
     total = np.empty(n + 1, U)
     total[0] = 0
     np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
-    ends = np.append(starts[1:], n)
     h = (total[ends] - total[starts]) * _powers(_INVERSE, n)[starts]
     h += (ends - starts).astype(U) * _MULT[63]
     return mix(h)
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes from one start to the next (the last to the end)."""
+    return hash_spans(data, starts, np.append(starts[1:], len(data)))
+
+
 def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The concatenation of flat[start : start + count] for each pair."""
     off = np.cumsum(count)
