@@ -19,7 +19,7 @@ from quillflow.llm.staging import small_batches, table
 #: (verdict, host and path), fixed values.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 STRICT = ("casino", "escort", "gambling", "porn", "viagra", "xxx")
-SOFT = ("ads", "adult", "bet", "bonus", "cheap", "deals", "farm", "free", "loan", "pills", "poker", "slots", "spam", "track", "win")
+SOFT = ("ads", "adult", "bet", "bets", "bonus", "cheap", "deals", "farm", "free", "loan", "pills", "poker", "slots", "spam", "track", "win")
 LIMIT = 2
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
