@@ -1,4 +1,6 @@
 """The queries of the driver contract, with equivalent SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillflow.catalog.oracle import ORACLE_SQL
+from quillflow.catalog.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
