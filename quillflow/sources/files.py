@@ -56,9 +56,7 @@ class FolderSource:
     lifecycle: str = "resumable"
 
     def read(self, spark: SparkSession) -> Stream:
-        reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        reader = reader.option("pathGlobFilter", self.glob) if self.glob else reader
-        files = reader.text(self.path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        files = spark.read.text(self.path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=self.glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
         return Stream(files.select(F.col("path").alias("seq"), F.struct("path", "text").alias("item"), F.lit(None).cast(META).alias("meta")))
 
 
