@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
         have = np.ones(size, dtype=U)
         done = 1
         while done < size:
