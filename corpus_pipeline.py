@@ -7,6 +7,8 @@ repeats an earlier stage.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillflow.llm.decontaminate import decontaminate
@@ -19,7 +21,8 @@ from quillflow.llm.staging import stage, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; texts without letters go."""
-    return document_languages(docs).where("_kept").select(*docs.columns)
+    names = tuple(f"_{x}_{uuid.uuid4().hex}" for x in ("language", "probability", "kept"))
+    return document_languages(docs, names=names).where(names[2]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

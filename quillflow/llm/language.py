@@ -98,8 +98,8 @@ def fit(docs: DataFrame, text: Column, label: Column) -> Model:
     return Model.fit([(r.t, r.l) for r in chosen.limit(2 * TRAIN_ROWS).collect()])
 
 
-def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column) -> DataFrame:
-    """``docs`` with its columns and three more: language, probability and kept, as ``_language``, ``_probability``, ``_kept``.
+def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column, names: tuple[str, str, str] = ("_language", "_probability", "_kept")) -> DataFrame:
+    """``docs`` with three more columns, by default ``_language``, ``_probability``, ``_kept``; they replace columns of the same name.
 
     A row is kept unless its language is ``und`` or its probability is below one half.
     A text that is null, empty or without letters has no likelihood of its own and is
@@ -110,6 +110,8 @@ def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, h
     spark, n = docs.sparkSession, len(model.languages)
     small_batches(spark)
     tag = "_" + uuid.uuid4().hex[:8]
+    own_columns = [c for c in docs.columns if c not in names]
+    language, probability, kept = names
     names = [f"{tag}_{i}" for i in range(n)]
     address = F.lower(F.coalesce(host, F.lit("")))
     last = F.regexp_extract(address, r"\.([a-z]+)(?::\d+)?$", 1)
@@ -166,15 +168,15 @@ def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, h
     fused = [f"{tag}_f{i}" for i in range(n)]
     both = both.withColumn(tag + "_best", top(fused))
     both = both.withColumns({
-        "_probability": F.expr("1 / (" + " + ".join(f"exp({f} - {tag}_best)" for f in fused) + ")"),
-        "_language": F.element_at(F.array(*map(F.lit, model.languages)), F.array_position(F.array(*fused), F.col(tag + "_best")).cast("int")),
-    }).select(*docs.columns, "_language", "_probability")
-    return both.withColumn("_kept", (F.col("_language") != UNKNOWN) & (F.col("_probability") >= LEAST_PROBABILITY))
+        probability: F.expr("1 / (" + " + ".join(f"exp({f} - {tag}_best)" for f in fused) + ")"),
+        language: F.element_at(F.array(*map(F.lit, model.languages)), F.array_position(F.array(*fused), F.col(tag + "_best")).cast("int")),
+    }).select(*own_columns, language, probability)
+    return both.withColumn(kept, (F.col(language) != UNKNOWN) & (F.col(probability) >= LEAST_PROBABILITY))
 
 
-def document_languages(docs: DataFrame) -> DataFrame:
+def document_languages(docs: DataFrame, **named) -> DataFrame:
     """``documents`` with their languages: ``lang`` is what is declared, ``source`` the host."""
-    return identify(docs, fit(docs, F.col("text"), F.col("lang")), text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    return identify(docs, fit(docs, F.col("text"), F.col("lang")), text=F.col("text"), declared=F.col("lang"), host=F.col("source"), **named)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

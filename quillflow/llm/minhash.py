@@ -12,6 +12,7 @@ shingle sets and joined to connected components.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,11 +200,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat an id are one document, of which one row stays. Rows without an id stay.
     """
     found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col), "found")
-    key = F.col(id_col).cast("long")
+    key, other = F.col(id_col).cast("long"), "_" + uuid.uuid4().hex
 
     def among(ids: DataFrame, how: str) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("_drop")).distinct()
-        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key == F.col("_drop"), how)
+        ids = ids.select(F.col("doc_id").alias(other)).distinct()
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key == F.col(other), how)
 
     gone = found.where("not kept").select("doc_id")
     again = stage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"), "again")

@@ -69,7 +69,9 @@ class ShardStore:
         return version
 
     def _entries(self, folder: str, generation: int) -> DataFrame:
-        found = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+        files = self.spark.read.parquet(folder)
+        of = files.metadataColumn("_metadata")
+        found = files.groupBy(of["file_path"].alias("path"), of["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
         return found.withColumn("generation", F.lit(generation))
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
@@ -110,8 +112,8 @@ class ShardStore:
         columns, merge = rows.columns, "_merge_" + uuid.uuid4().hex[:8]
         to = plan.select(F.col("path").alias(merge + "_path"), F.col("merge_id").alias(merge))
         to = F.broadcast(to) if shards <= BROADCAST_SHARDS else to
-        rows = rows.withColumn(merge + "_path", F.col("_metadata.file_path")).join(to, merge + "_path").select(*columns, merge)
-        rows.repartition(groups, merge).write.partitionBy(merge).option("compression", CODEC).parquet(folder)
+        rows = rows.withColumn(merge + "_path", rows.metadataColumn("_metadata")["file_path"]).join(to, merge + "_path").select(*columns, merge)
+        rows.repartition(4 * groups, merge).write.partitionBy(merge).option("compression", CODEC).parquet(folder)
         made = self._entries(folder, oldest + 1)
         return self.commit(self.manifest(version).join(plan.select("path"), "path", "left_anti").select("path", "bytes", "rows", "generation").unionByName(made), version + 1)
 
@@ -146,10 +148,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compacted(docs, new_path(spark, "shards"))
     store.vacuum()
     live, rows = store.manifest(), store.read()
-    if rows is None:
-        rows = docs.withColumn("path", F.lit(""))
-    else:
-        rows = rows.withColumn("path", F.col("_metadata.file_path"))
+    path = F.lit("") if rows is None else rows.metadataColumn("_metadata")["file_path"]
+    rows = docs if rows is None else rows
     live = F.broadcast(live) if live.count() <= BROADCAST_SHARDS else live
-    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "path").join(live, "path")
+    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), path.alias("path")).join(live, "path")
     return out.select("doc_id", "n_chars", "text_sha256", F.regexp_extract("path", "/data/(.*)$", 1).alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "generation", F.lit(store.versions()[-1]).alias("version"))

@@ -1,0 +1,61 @@
+import re
+
+import pytest
+
+from quillflow.llm import html as H
+
+PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body><header>top</header><nav><a href=/>menu</a></nav><div class='cookie-notice'>c</div><div class='wrap'><div class='post post-{n}'>{body}</div><aside>side</aside><section id='comments'><p>a long comment that is longer than the text itself, really</p></section></div><form><p>f</p></form><footer>foot</footer></body></html>"
+
+
+def text(source):
+    p = H.Page(source)
+    v = p.votes()
+    return p.text(max(v, key=v.get) if v else None)
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<h1>A &amp; B</h1><p>one\n two<br>three</p><p>&eacute;&#33;&nbsp;x", "A & B\none two three\né! x"),
+        ("<p>open<p><b>bold<p>next</b> end<ul><li>i<li>j</ul>tail", "open\nbold\nnext end\ni\nj\ntail"),
+        ("<script>var a='</p><p>';</script><p>x<!-- <p>no</p> --></p><div class=ad><p>ad</p></div><table><tr><td>q<td>r</table>", "x\nq\nr"),
+        ("<P CLASS=lead>Up</P><p title='a>b'>low", "Up\nlow"),
+        ("a < b <p>x", "a < b\nx"),
+    ],
+)
+def test_article_only(body, want):
+    assert text(PAGE.format(n=1, body=body + "<p>" + "filler words " * 20 + "</p>")).replace("\n" + ("filler words " * 20).strip(), "") == want
+
+
+def test_odd_pages():
+    for source in (None, "", "<", "<!-- open", "<script>never closed", "plain", "<p>" * 3000 + "x", "<div>" * 2000 + "y", "</p></div>", "<html><body><nav>only</nav></body></html>"):
+        assert isinstance(text(source), str)
+    assert text("plain &lt;") == "plain <" and text("<nav>only</nav>") == ""
+
+
+def test_hosts_agree_on_a_path(spark):
+    long, short = "<p>" + "words of the article " * 20 + "</p>", "<p>tiny</p>"
+    aside = "<div class='box'><p>" + "some other long text in a box " * 3 + "</p></div>"
+    rows = [(i, "http://h.x/" + str(i), PAGE.format(n=i, body=long) + aside) for i in range(8)]
+    rows += [(8, "HTTP://H.X/8", PAGE.format(n=8, body=short) + aside), (9, None, "<p>alone"), (None, "http://z/", None), (9, None, "<p>alone")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, path int, host string").repartition(3)
+    assert dict((r.host, r.path) for r in H.host_paths(df).collect())["h.x"].endswith("div.post.post-#")
+    got = {r.page_id: r for r in H.extract(df).collect()}
+    assert got[8].text == "tiny" and got[8].n_chars == 4 and got[9].text == "alone" and got[None].text == ""
+    assert H.extract(df).count() == len(rows) and H.extract(df.limit(0)).collect() == []
+
+
+def test_given_pages_exactly(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        blocks = (" ".join(re.sub("<[^>]*>", " ", b).replace("&quot;", '"').replace("&amp;", "&").split()) for b in re.split("</?(?:p|h1)>", inner))
+        want[r.page_id] = "\n".join(b for b in blocks if b)
+    assert {r.page_id: r.text for r in H.extract(pages).collect()} == want
+
+
+def test_long_page(spark):
+    html = PAGE.format(n=1, body="<p>para graph</p>" * 30_000)
+    df = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+    assert H.extract(df).first().n_chars == 30_000 * 11 - 1
