@@ -70,8 +70,14 @@ class Registry:
     def source(self, raw: str) -> Source:
         return self._make(self.sources, "source", raw)
 
-    def target(self, raw: str) -> Target:
-        return self._make(self.targets, "target", raw)
+    def target(self, raw: str, project: str = ".") -> Target:
+        """The target of a URI; with ``?commit=on-close`` the project's folder is committed after the write."""
+        made = self._make(self.targets, "target", raw)
+        if self.parse(raw).query.get("commit") == "on-close":
+            from quillflow.sources.commit import CommitOnClose
+
+            return CommitOnClose(made, project)
+        return made
 
     def has_source(self, scheme: str) -> bool:
         return scheme in self.sources

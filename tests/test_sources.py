@@ -98,3 +98,19 @@ def test_count_batches_survive_a_restart(spark, tmp_path):
         stream.writeStream.outputMode("append").option("checkpointLocation", mark).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
     rows = [r.asDict() for r in spark.read.parquet(out).collect()]
     assert sorted((r["batch"], list(r["items"])) for r in rows) == [(0, ["1", "2", "3"]), (1, ["4", "5", "6"])]
+
+
+def test_commit_on_close(spark, tmp_path, monkeypatch):
+    from quillflow.sources.commit import GitMissing, auto_commit, exec_git
+
+    exec_git(str(tmp_path), "init", "-q")
+    for k, v in (("user.name", "a"), ("user.email", "a@b.c")):
+        exec_git(str(tmp_path), "config", k, v)
+    target = default_registry().target(f"jsonl://{tmp_path}/out?commit=on-close", str(tmp_path))
+    target.write(spark.createDataFrame([(1,)], "item int"))
+    assert exec_git(str(tmp_path), "log", "--oneline")[1].count("\n") == 1
+    assert auto_commit(str(tmp_path)) is None
+    assert exec_git(str(tmp_path), "no-such-command")[0] != 0
+    monkeypatch.setenv("PATH", "")
+    with pytest.raises(GitMissing):
+        exec_git(str(tmp_path), "status")
