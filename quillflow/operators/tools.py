@@ -158,6 +158,11 @@ def apply_tool(df: DataFrame, tool: Tool, policy: Policy | None = None, *, item:
     arrow, error_type = to_arrow_type(kind), to_arrow_type(ERROR)
     one = tool.function if isinstance(tool, RowTool) else lambda x: _once(tool, x)
 
+    def shaped(result: Any) -> Any:
+        """The result, if it has the declared type; its row is at fault else."""
+        pa.scalar(result, arrow)
+        return result
+
     def attempt(call: Callable[[], Any]) -> tuple[Any, dict | None]:
         try:
             return with_retry(call, policy.retry)[0], None
@@ -170,12 +175,12 @@ def apply_tool(df: DataFrame, tool: Tool, policy: Policy | None = None, *, item:
         for batch in batches:
             items = batch.column(place).to_pylist()
             if isinstance(tool, ProcessTool) and tool.mode == "stream":
-                results, failed = attempt(lambda items=items: _streamed(tool, items))
+                results, failed = attempt(lambda items=items: list(map(shaped, _streamed(tool, items))))
                 found = [(None, failed)] * len(items) if failed else [(r, None) for r in results]
                 if failed and len(items) > 1:  # find the rows that are at fault
-                    found = [(r[0] if r else None, e) for r, e in (attempt(lambda x=x: _streamed(tool, [x])) for x in items)]
+                    found = [(r[0] if r else None, e) for r, e in (attempt(lambda x=x: list(map(shaped, _streamed(tool, [x])))) for x in items)]
             else:
-                found = [attempt(lambda x=x: one(x)) for x in items]
+                found = [attempt(lambda x=x: shaped(one(x))) for x in items]
             cols = [pa.array([r for r, _ in found], arrow) if i == place else c for i, c in enumerate(batch.columns)]
             if captured:
                 cols.append(pa.array([e for _, e in found], error_type))

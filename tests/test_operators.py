@@ -141,3 +141,9 @@ def test_memo_calls_once_for_each_key(spark, tmp_path):
     assert calls[-1] == 2
     memo.delete(memo.table().where("version = '1'").select("key"))
     assert memo.table().select("version").distinct().collect()[0].version == "2"
+
+
+def test_results_must_have_the_declared_type(spark):
+    tool = RowTool("t", "1", lambda x: 1 if x == "a" else "no number", "int")
+    rows = apply_tool(items(spark, ["a", "b"]), tool, Policy(Retry(0), "skip-item")).orderBy("seq").collect()
+    assert rows[0].item == 1 and rows[0]._error is None and rows[1]._error is not None
