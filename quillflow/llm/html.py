@@ -32,7 +32,13 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
 AWAY = frozenset("aside button dialog footer form head header iframe input menu nav noscript object option script select style svg template textarea".split())
 #: Words in a class, id or role that mark what isn't the article (fixed values).
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer form header login menu menubar modal nav navbar navigation newsletter notice notices notification popup promo promotion related reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+MARKS = frozenset(
+    "ad adbox ads adslot advert advertisement advertising adverts alert alerts banner breadcrumb breadcrumbs comment commentform commentlist comments complementary consent contentinfo cookie cookies disqus "
+    "footer form gdpr header login mainmenu mainnav masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond "
+    "search share sharing sidebar sidenav signup sitenav social sponsor sponsored submenu subnav subscribe subscription toolbar topbar topnav widget".split()
+)
+#: Words in a class or id that suggest the whole article (fixed values).
+WHOLE = frozenset("article content entry post story".split())
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -56,8 +62,8 @@ class Page:
     """The text blocks of a page, each with the containers around it."""
 
     def __init__(self, source: str | None):
-        #: path, parent's index
-        self.nodes: list[tuple[str, int]] = []
+        #: path, parent's index, weight of all text within (0: that of its parents fades with each level)
+        self.nodes: list[tuple[str, int, float]] = []
         #: text, characters in links, index of the innermost container
         self.blocks: list[tuple[str, int, int]] = []
         self._parse(source or "")
@@ -137,7 +143,8 @@ class Page:
             classes = ".".join(sorted(re.sub(r"\d+", "#", x) for x in attrs.get("class", "").split()))
             path = f"{path}/{tag}{'.' + classes if classes else ''}"
             if tag in CONTAINER and not out:
-                self.nodes.append((path, node))
+                names = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+                self.nodes.append((path, node, 1.3 if tag == "article" else 1.1 if tag == "main" or tag != "body" and names & WHOLE else 0.0))
                 node = len(self.nodes) - 1
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
                 stack.append((tag, out, node, path))
@@ -147,14 +154,17 @@ class Page:
         flush()
 
     def scores(self) -> dict[int, float]:
-        """Containers by the text that they hold: all of their own blocks, less of those deeper in."""
+        """Containers by the text that they hold: all of their own blocks, less of those deeper in.
+
+        An article, or what is named like one, counts all text within in full, so a part of it doesn't win over the whole.
+        """
         found: dict[int, float] = {}
         for text, linked, node in self.blocks:
-            worth = max(0, len(text) - 2 * linked)
-            share = 1.0
-            while node >= 0 and worth and share > 0.1:
-                found[node] = found.get(node, 0) + worth * share * (1.2 if re.search(r"/(article|main)[^/]*$", self.nodes[node][0]) else 1)
-                node, share = self.nodes[node][1], share / 2
+            worth, share = max(0, len(text) - 2 * linked), 1.0
+            while node >= 0 and worth:
+                _, above, whole = self.nodes[node]
+                found[node] = found.get(node, 0) + worth * (whole or share)
+                node, share = above, share / 2
         return found
 
     def votes(self) -> dict[str, float]:
@@ -168,7 +178,7 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The blocks within the containers at the path, else within the best container, else all."""
-        chosen = {i for i, (p, _) in enumerate(self.nodes) if p == path}
+        chosen = {i for i, (p, _, _) in enumerate(self.nodes) if p == path}
         if not any(chosen & set(self._around(n)) for _, _, n in self.blocks):
             scores = self.scores()
             chosen = {max(scores, key=lambda i: (scores[i], -i))} if scores else set()

@@ -27,6 +27,13 @@ def test_article_only(body, want):
     assert text(PAGE.format(n=1, body=body + "<p>" + "filler words " * 20 + "</p>")).replace("\n" + ("filler words " * 20).strip(), "") == want
 
 
+def test_the_whole_article_wins_over_a_part():
+    long = "<p>" + "many words in the body " * 30 + "</p>"
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<div class='post-9'>{}</div>", "<div class=x><article class=post>{}</article></div>"):
+        page = "<body><div class=wrap>" + outer.format(f"<h1>Title</h1><div class=entry-body>{long}</div><p>end</p><ol class=commentlist><li>{long}</ol>") + "<div role=complementary>s</div></div></body>"
+        assert text(page).split("\n")[0] == "Title" and text(page).endswith("\nend") and text(page).count("body") == 30
+
+
 def test_odd_pages():
     for source in (None, "", "<", "<!-- open", "<script>never closed", "plain", "<p>" * 3000 + "x", "<div>" * 2000 + "y", "</p></div>", "<html><body><nav>only</nav></body></html>"):
         assert isinstance(text(source), str)
