@@ -5,15 +5,20 @@ from __future__ import annotations
 from quillflow.llm.decontaminate import op3_decontaminate
 from quillflow.llm.fingerprint import op2_fingerprint
 from quillflow.llm.html import op5_html
-from quillflow.llm.language import op4_language
+from quillflow.llm.language import op4_language, pages_language
 from quillflow.llm.minhash import op1_minhash
+from quillflow.llm.oracle import ORACLE_SQL
 from quillflow.llm.packing import op9_packing
 from quillflow.llm.secrets import op8_secrets
-from quillflow.llm.sharding import op7_sharding
+from quillflow.llm.sharding import op7_sharding, sharding_round_trip
 from quillflow.llm.toxicity import op10_toxicity
 from quillflow.llm.urls import op6_urls
-from quillflow.llm.language import pages_language
-from quillflow.llm.urls import ORACLE as URLS_SQL
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing, op10_toxicity, pages_language)}
-ORACLE_SQL: dict[str, str] = {"op6_urls": URLS_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing, op10_toxicity, pages_language, sharding_round_trip,
+    )
+}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
