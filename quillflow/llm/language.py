@@ -24,7 +24,7 @@ from quillflow.llm.staging import small_batches, stage, table
 
 BUCKETS, TEMPER, UNKNOWN = 1 << 16, 3.0, "und"
 #: The text model is fitted on about so many labelled rows of at most so many characters.
-TRAIN_ROWS, TRAIN_CHARS, LEAST_ROWS = 3000, 20_000, 10
+TRAIN_ROWS, TRAIN_CHARS, LEAST_ROWS = 3000, 20_000, 5
 #: Chance that a declaration or suffix names the true language; strength of host and suffix smoothing; prior of ``und``.
 DECLARED, SUFFIX, HOST_WEIGHT, SUFFIX_WEIGHT, UNKNOWN_PRIOR, LEAST_PROBABILITY = 0.9, 0.6, 20.0, 100.0, 0.001, 0.5
 #: Hosts whose priors are broadcast at most (some 100 bytes each); more are joined by a shuffle.
