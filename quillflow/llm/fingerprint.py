@@ -1,11 +1,11 @@
 """Document fingerprints by order MinHash, in DataFrame and SQL functions only.
 
 A text is cut into pieces (words, long ones every eight characters) and every run of
-three pieces is a k-mer. Of all k-mers, numbered by their occurrence, a bottom sample
-by one hash is kept; a text with fewer k-mers is its own sample. For each of 32 slots
-two permutations each select the smallest k-mer of the sample; the two are put back
-into text order and hashed together, so moved passages change slots that a plain
-MinHash would leave alone. Likeness is the share of equal slots.
+three pieces is a k-mer. All k-mers are numbered by their occurrence. For each of 32
+slots two permutations each select the smallest of all (k-mer, occurrence) pairs of the
+text; the two are put back into text order and hashed together, so moved passages
+change slots that a plain MinHash would leave alone. Likeness is the share of equal
+slots.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillflow.llm.staging import stage, table
 
-SLOTS, KMER, SAMPLE = 32, 3, 128
+SLOTS, KMER = 32, 3
 PIECE = r"\\s*\\S{1,8}"
 #: The low bits of a packed value hold a place in the text, the rest a hash.
 PLACE_BITS = 26
@@ -27,14 +27,21 @@ _PLACE, _HASH = (1 << PLACE_BITS) - 1, -(1 << PLACE_BITS)
 
 
 def sampled(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """A row (k, p) for each sampled k-mer of each row: the hash with its occurrence number, and its place."""
+    """A row (k, p) for each k-mer of each row: the hash with its occurrence number, and its place.
+
+    Equal k-mers lie next to each other in the sorted array, by place; a binary search
+    finds how many of them come before one.
+    """
     df = df.withColumn("_t", F.expr(f"regexp_extract_all({text}, '{PIECE}', 0)")).select(*keep, "_t")
     grams = ", ".join(f"_t[i + {j}]" for j in range(KMER))
     packed = f"""case when size(_t) >= {KMER} then transform(sequence(0, size(_t) - {KMER}), i -> (xxhash64({grams}) & {_HASH}L) | cast(i as bigint))
                  when size(_t) > 0 then array(xxhash64(array_join(_t, '|')) & {_HASH}L) else array(0L) end"""
-    df = df.withColumn("_s", F.expr(f"slice(sort_array({packed}), 1, {SAMPLE})")).select(*keep, "_s")
-    df = df.withColumn("_h", F.expr(f"transform(_s, x -> x & {_HASH}L)"))
-    items = f"transform(_s, (x, j) -> struct(xxhash64(x & {_HASH}L, j - array_position(_h, x & {_HASH}L)) as k, x & {_PLACE}L as p))"
+    df = df.withColumn("_s", F.expr(f"sort_array({packed})")).select(*keep, "_s")
+    powers = ", ".join(str(1 << i) for i in reversed(range(PLACE_BITS)))
+    df = df.withColumn("_b", F.expr(f"filter(array({powers}), b -> b < size(_s))"))
+    same = f"j >= {{0}} and (_s[j - ({{0}})] & {_HASH}L) = (x & {_HASH}L)"
+    before = f"if({same.format('1')}, aggregate(_b, 0, (m, b) -> if({same.format('m + b')}, m + b, m)), 0)"
+    items = f"transform(_s, (x, j) -> struct(xxhash64(x & {_HASH}L, {before}) as k, x & {_PLACE}L as p))"
     return df.select(*keep, F.expr(f"inline({items})"))
 
 

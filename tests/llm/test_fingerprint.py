@@ -66,6 +66,56 @@ def test_repeated_words_are_numbered(frame):
     assert sig[0] != sig[1]
 
 
+def test_every_kmer_counts_beside_thousands_of_repeats(frame, words):
+    rest = words(60, 11)
+    texts = ["a b c " * 3000 + " ".join(rest), " ".join(rest) + " a b c" * 3000, "a b c " * 3000]
+    rows = P.sampled(frame(texts), "text", ["doc_id"]).collect()
+    for i, t in enumerate(texts):
+        mine = [r for r in rows if r.doc_id == i]
+        n = len(t.split()) - P.KMER + 1
+        assert sorted(r.p for r in mine) == list(range(n)) and len({r.k for r in mine}) == n
+    ks = [{r.k for r in rows if r.doc_id == i} for i in range(3)]
+    assert len(ks[0] - ks[2]) >= len(rest) and len(ks[0] & ks[1]) > 0.99 * len(ks[0])
+
+
+def test_likeness_of_repeated_passages(frame, words):
+    """The share of equal slots is near that of order MinHash over all k-mers in plain Python."""
+    passages = [words(60, 20 + i) for i in range(12)]
+    texts = [(p * 200, p * 150 + q * 50) for p, q in zip(passages, passages[1:] + passages[:1], strict=True)]
+    sig = {r.doc_id: r.sig for r in P.slots(P.sampled(frame([" ".join(t) for pair in texts for t in pair]), "text", ["doc_id"]), ["doc_id"]).collect()}
+    got = [sum(a == b for a, b in zip(sig[2 * i], sig[2 * i + 1], strict=True)) / P.SLOTS for i in range(12)]
+
+    def numbered(t):
+        seen, out = {}, {}
+        for i in range(len(t) - P.KMER + 1):
+            k = tuple(t[i : i + P.KMER])
+            seen[k] = seen.get(k, -1) + 1
+            out[k, seen[k]] = i
+        return out
+
+    want, slots = [], 400
+    for a, b in texts:
+        one, two = numbered(a), numbered(b)
+        rng = random.Random(3)
+        order = sorted(one.keys() | two.keys())
+        equal = 0
+        for _ in range(slots):
+            picks = [], []
+            for _ in range(2):
+                left = [None, None]  # random draws until each text has its smallest
+                while None in left:
+                    k = rng.choice(order)
+                    for j, t in enumerate((one, two)):
+                        if left[j] is None and k in t:
+                            left[j] = k
+                picks[0].append(left[0])
+                picks[1].append(left[1])
+            equal += [k[0] for k in sorted(picks[0], key=one.get)] == [k[0] for k in sorted(picks[1], key=two.get)] and set(picks[0]) == set(picks[1])
+        want.append(equal / slots)
+    assert all(0 < x < 1 for x in got) and abs(sum(got) - sum(want)) / 12 < 0.1
+    assert max(abs(x - y) for x, y in zip(got, want, strict=True)) < 0.35
+
+
 def test_no_python_in_the_plan(spark, capsys):
     P.op2_fingerprint(spark, "/root/testdata/sf0.001").explain("formatted")
     assert not any(x in capsys.readouterr().out for x in ("Python", "Arrow", "Pandas"))
