@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -23,8 +23,9 @@ from quillflow.llm import textops as T
 from quillflow.llm.staging import small_batches, stage, table
 
 BUCKETS, TEMPER, UNKNOWN = 1 << 16, 3.0, "und"
-#: The text model is fitted on about so many labelled rows of at most so many characters.
-TRAIN_ROWS, TRAIN_CHARS, LEAST_ROWS = 3000, 20_000, 5
+#: Every language with LEAST_ROWS labelled rows or more has a text model, fitted on the first so many characters of at
+#: most TRAIN_TEXTS distinct texts, shared equally between languages, yet up to LEAST_TEXTS of each.
+TRAIN_TEXTS, LEAST_TEXTS, TRAIN_CHARS, LEAST_ROWS = 3000, 50, 20_000, 5
 #: Chance that a declaration or suffix names the true language; strength of host and suffix smoothing; prior of ``und``.
 DECLARED, SUFFIX, HOST_WEIGHT, SUFFIX_WEIGHT, UNKNOWN_PRIOR, LEAST_PROBABILITY = 0.9, 0.6, 20.0, 100.0, 0.001, 0.5
 #: Hosts whose priors are broadcast at most (some 100 bytes each); more are joined by a shuffle.
@@ -63,11 +64,12 @@ class Model:
         self.languages, self.weights = languages, weights
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> Model:
+    def fit(cls, rows: list[tuple[str, str]], known: set[str] | None = None) -> Model:
+        """From (text, language) rows; the languages are ``known``, or those with LEAST_ROWS rows or more."""
         by: dict[str, list[str]] = {}
         for text, lang in rows:
             by.setdefault(lang, []).append(text)
-        languages = sorted(x for x, texts in by.items() if len(texts) >= LEAST_ROWS)
+        languages = sorted(x for x, texts in by.items() if (len(texts) >= LEAST_ROWS if known is None else x in known))
         weights = np.zeros((len(languages) + 1, BUCKETS + 1))
         for i, lang in enumerate(languages):
             n = np.ones(BUCKETS + 1) * 0.05
@@ -91,11 +93,22 @@ class Model:
 
 
 def fit(docs: DataFrame, text: Column, label: Column) -> Model:
-    """A model from a bounded sample of labelled rows, chosen by a hash of the text."""
-    rows = docs.select(text.alias("t"), label.alias("l")).where("t is not null and l is not null and l <> ''")
-    share = min(1.0, TRAIN_ROWS / max(1, docs.count()))
-    chosen = rows.where((F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.length("t") <= TRAIN_CHARS))
-    return Model.fit([(r.t, r.l) for r in chosen.limit(2 * TRAIN_ROWS).collect()])
+    """A model of every language with LEAST_ROWS labelled rows or more, from a bounded number of its distinct texts.
+
+    Rows are counted by language over all data, so that a rare language has a model at
+    any size. The texts with the lowest hashes are chosen, all of a rare language.
+    """
+    rows = docs.select(text.cast("string").alias("t"), label.cast("string").alias("l")).where("t is not null and l is not null and l <> ''").withColumn("h", F.xxhash64("t"))
+    found = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).where(F.col("n") >= LEAST_ROWS).collect()
+    if not found:
+        return Model.fit([])
+    most = max(LEAST_TEXTS, TRAIN_TEXTS // len(found))
+    # twice as many as wanted, as distinct texts are counted approximately
+    lowest = {r.l: min((1 << 63) - 1, (2 * most << 64) // max(1, r.d) - (1 << 63)) for r in found}
+    limit = F.create_map(*(F.lit(x) for kv in lowest.items() for x in kv))[F.col("l")]
+    chosen = rows.where(F.col("h") <= limit).select("l", "h", F.substring("t", 1, TRAIN_CHARS).alias("t")).dropDuplicates(["l", "h"])
+    chosen = chosen.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("i") <= most)
+    return Model.fit([(r.t, r.l) for r in chosen.select("t", "l").collect()], set(lowest))
 
 
 def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column, names: tuple[str, str, str] = ("_language", "_probability", "_kept")) -> DataFrame:

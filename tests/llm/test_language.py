@@ -69,6 +69,16 @@ def test_held_out_accuracy(spark):
     assert got > 0.95
 
 
+def test_rare_languages_have_a_model_at_any_size(spark):
+    """Few labelled rows among many, long texts only, and many copies of one text."""
+    many = spark.range(30_000).select(F.concat(F.lit(TEXTS["en"] + " "), F.col("id").cast("string")).alias("t"), F.when(F.col("id") % 3 == 0, "en").alias("l"))
+    copies = spark.range(30_000).select(F.lit(TEXTS["de"]).alias("t"), F.lit("de").alias("l"))
+    rare = [(f"{TEXTS['fr']} {i} " * 1000, "fr") for i in range(5)] + [(f"nicht {i}", "de") for i in range(4)] + [("che", "it")] * 4
+    m = L.fit(many.union(copies).union(spark.createDataFrame(rare, "t string, l string")), F.col("t"), F.col("l"))
+    assert m.languages == ["de", "en", "fr", L.UNKNOWN]
+    assert [m.languages[i] for i in m.score(pa.array([TEXTS["fr"], "nicht nicht", TEXTS["en"]])).argmax(axis=1)] == ["fr", "de", "en"]
+
+
 def test_shapes(frame, spark):
     m = model()
     columns = dict(text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
