@@ -4,6 +4,11 @@ Besides assignments, access key ids and hex digests, the scan decodes long base6
 hex runs and reports them only if the bytes are a private key whose nested lengths
 fit (PKCS#1, PKCS#8, SEC 1 or OpenSSH), and signed tokens only if their header and
 payload decode to JSON objects and the header names an algorithm.
+
+A key may also be spread over lines: what begins like one is joined over line ends,
+their escapes, quotes and prefixes for as many bytes as its own lengths ask for (64 KB at
+most), with or without an armour, its header lines and its END line. An encrypted body
+can't be confirmed by its bytes; its header lines, END line and whole blocks do that.
 """
 
 from __future__ import annotations
@@ -30,6 +35,27 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: What may stand between two parts of a key: a join of strings, a comment's prefix, an escape, white space, quotes.
+_BETWEEN = r"""(?:["'`]\s*+[+&]\s*+(?=["'`])|(?:[\r\n]|\\++[nr])[ \t]*+(?://++|--)(?=[ \t])|\\++[nrt]|[\s"'`,;.>#*|\\])"""
+_BETWEEN_HEX = rf"(?:{_BETWEEN}|\\++x|0x|:)"
+_HEADERS = rf"(?:{_BETWEEN}*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?=[\r\n\\]))"
+_LABEL = "[A-Z0-9 ]*PRIVATE KEY-----"
+BEFORE = re.compile(rf"-----BEGIN {_LABEL}{_HEADERS}*+{_BETWEEN}*+")
+AFTER = re.compile(rf"={{0,2}}{_BETWEEN}*+-----END {_LABEL}")
+ENCRYPTED = re.compile(rf"-----BEGIN {_LABEL}({_HEADERS}++)((?:[A-Za-z0-9+/=]++|{_BETWEEN})++)-----END {_LABEL}")
+CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
+
+
+def _starts(between: str, *heads: list[str]) -> re.Pattern[str]:
+    return re.compile("|".join((between + "*+").join(head) for head in heads))
+
+
+_B64, _ANY = "[A-Za-z0-9+/_-]", "[0-9a-fA-F]"
+#: How a sequence (of a short length, of one or two bytes of length) with the version 0 or 1 begins, and an OpenSSH key.
+START64 = _starts(_BETWEEN, ["M", "[A-H]", _B64, *"CAQ", "[AE]"], [*"MI", "[E-H]", _B64, *"AgE", "[AB]"], [*"MI", "[I-L]", _B64, _B64, "[AQgw]", *"IBA", "[ADQT]"], [*"b3BlbnNzaC1rZXktdjEA"])
+START16 = _starts(_BETWEEN_HEX, [*"30", "[0-7]", _ANY, *"02010", "[01]"], [*"3081", _ANY, _ANY, *"02010", "[01]"], [*"3082", *[_ANY] * 4, *"02010", "[01]"], [f"[{c}{c.upper()}]" for c in b"openssh-key-v1\0".hex()])
+PART64, PART16 = re.compile(rf"({_B64}++)({_BETWEEN}*+)"), re.compile(rf"({_ANY}++)({_BETWEEN_HEX}*+)")
+SPREAD_BYTES = 1 << 16
 Span = tuple[int, str, int, int]
 
 
@@ -96,6 +122,68 @@ def private_key(data: bytes | None) -> bool:
     return False
 
 
+def gather(text: str, at: int, stop: int, part: re.Pattern[str], most: int) -> tuple[str, int]:
+    """At most so many digits of parts that follow one another, and where they end."""
+    out, n, end = [], 0, at
+    while n < most and (m := part.match(text, at, stop)):
+        out.append(m[1][: most - n])
+        n += len(out[-1])
+        at, end = m.end(), m.start() + len(out[-1])
+        if not m[2]:
+            break
+    return "".join(out), end
+
+
+def length_of(data: bytes) -> int | None:
+    """How many bytes a key that begins like this has by its own lengths."""
+    if data[0] == 0x30:
+        return 2 + data[1] if data[1] < 0x80 else 3 + data[2] if data[1] == 0x81 else 4 + int.from_bytes(data[2:4])
+    at = 15
+    for part in range(6):
+        if at + 4 > len(data):
+            return None
+        at += 4 + (int.from_bytes(data[at : at + 4]) if part != 3 else 0)
+    return at
+
+
+def spread_keys(text: str) -> Iterator[Span]:
+    """Keys whose digits are in several parts, with their armour as far as there is one."""
+    for start, part, bits, decode in ((START64, PART64, 6, from_base64), (START16, PART16, 4, bytes.fromhex)):
+        digits = re.compile(_B64 if bits == 6 else _ANY)
+        at, stop = 0, -1
+        while m := start.search(text, at):
+            at, own = m.start() + 1, m.start()
+            before = text[max(0, own - 5) : own]
+            if digits.match(before[-1:]) and before != "-----" and not re.search(r"\\[nrt]$", before):
+                continue
+            if stop < own:
+                stop = text.find("-----", own)
+                stop = len(text) if stop < 0 else stop
+            least = 8 if text[own] in "M3" else SPREAD_BYTES * 8 // bits
+            head = gather(text, own, stop, part, least)[0]
+            head = decode(head[: len(head) // 4 * 4])
+            size = length_of(head) if head else None
+            if size is None or size > SPREAD_BYTES:
+                continue
+            need = -(-size * 8 // bits)
+            body, end = gather(text, own, stop, part, need)
+            if len(body) < need or not private_key(decode(body)):
+                continue
+            at = end
+            begin = text.rfind("-----BEGIN ", 0, own)
+            if begin >= 0 and BEFORE.fullmatch(text, begin, own):
+                after = AFTER.match(text, end)
+                yield begin, "armour", after.end() if after else end + len(re.match("={0,2}", text[end : end + 2])[0]), begin
+            else:
+                yield own, "key", end + (len(re.match("={0,2}", text[end : end + 2])[0]) if bits == 6 else 0), own
+
+
+def encrypted_body(headers: str, body: str) -> bool:
+    """Whether header lines name a cipher and the body has whole blocks."""
+    data = from_base64(re.sub(_BETWEEN, "", body)) if "ENCRYPTED" in headers and CIPHER.search(headers) else None
+    return bool(data) and len(data) >= 32 and len(data) % 8 == 0
+
+
 def signed_token(header: str, payload: str) -> bool:
     try:
         head, body = (json.loads(from_base64(x) or b"") for x in (header, payload))
@@ -119,6 +207,12 @@ def scan(text: str | None) -> list[Span]:
         raw = m[0]
         if private_key(from_base64(raw)) or len(raw) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", raw) and private_key(bytes.fromhex(raw)):
             out.append((m.start(), "key", m.end(), m.start()))
+    if "-Info:" in text:
+        out += [(m.start(), "armour", m.end(), m.start()) for m in ENCRYPTED.finditer(text) if encrypted_body(m[1], m[2])]
+    keys = list(spread_keys(text))
+    out = [s for s in out if s[1] != "key" or not any(x[0] <= s[0] and s[2] <= x[2] for x in keys)]
+    whole = [s for s in out if s[1] in ("armour", "key")]
+    out += [s for s in keys if not any(x[0] <= s[0] and s[2] <= x[2] for x in whole)]
     if "eyJ" in text:
         out += [(m.start(), "token", m.end(), m.start()) for m in TOKEN.finditer(text) if signed_token(m[1], m[2])]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))

@@ -52,6 +52,48 @@ def test_keys_are_confirmed():
     assert kinds("A" * 200) == [] and not S.private_key(b"\x30\x80") and not S.private_key(b"") and not S.private_key(b"\x30\x84\xff\xff\xff\xff")
 
 
+def test_keys_spread_over_lines():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    for key in (RSA, EC, PKCS8, SSH):
+        body = base64.b64encode(key).decode()
+        for width in (16, 64, 76):
+            lines = [body[i : i + width] for i in range(0, len(body), width)]
+            hexed = [key.hex()[i : i + width] for i in range(0, 2 * len(key), width)]
+            armoured = [begin, *lines, end]
+            cases = [
+                (json.dumps({"k": "\n".join(armoured)}), json.dumps("\n".join(armoured))[1:-1], "armour"),
+                ("\r\n".join(armoured).replace("\r\n", r"\r\n"), None, "armour"),
+                ("\n".join([begin, "Proc-Type: 4,MIC-ONLY", "Comment: a", "", *lines, end]), None, "armour"),
+                ("\n".join([begin, *lines]), None, "armour"),
+                ("\n".join(lines), None, "key"),
+                ("\n".join("    " + x for x in lines), "\n    ".join(lines), "key"),
+                ("\n".join("> " + x for x in lines), "\n> ".join(lines), "key"),
+                ("\n".join("// " + x for x in lines), "\n// ".join(lines), "key"),
+                (" +\n".join(f'"{x}"' for x in lines), '" +\n"'.join(lines), "key"),
+                ("\n".join(hexed), None, "key"),
+                ("\n".join(hexed).upper(), None, "key"),
+                (", ".join(f"0x{b:02x}" for b in key), ", ".join(f"0x{b:02x}" for b in key)[2:], "key"),
+            ]
+            for text, whole, kind in cases:
+                text = f"see:\n{text}\n. end"
+                spans = [(k, text[a:b]) for a, k, b, _ in S.scan(text) if k not in S.BASE]
+                assert spans == [(kind, whole or text[5:-6])], (text, spans)
+            assert kinds("\n".join([begin, *lines[:-1], end])) == [] and kinds("\n".join(hexed[:-1])) == []
+
+
+def test_encrypted_keys_and_no_others():
+    lines = [base64.b64encode(bytes(range(48))).decode() for _ in range(8)]
+    head = ["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    for eol in ("\n", r"\n"):
+        text = eol.join([*head, *lines, "-----END RSA PRIVATE KEY-----"])
+        assert [text[a:b] for a, k, b, _ in S.scan(text) if k == "armour"] == [text]
+        assert "armour" not in kinds(eol.join([*head, *lines, "AAAA", "-----END RSA PRIVATE KEY-----"]))
+        assert "armour" not in kinds(eol.join([*head[:2], "", *lines, "-----END RSA PRIVATE KEY-----"]))
+    certificate = base64.b64encode(tlv(0x30, tlv(0x30, tlv(2, b"\1") + tlv(0x30, b"")) + tlv(3, b"x" * 90))).decode()
+    assert kinds("\n".join(certificate[i : i + 64] for i in range(0, len(certificate), 64))) == []
+    assert kinds("MIIEpAIBAAK " * 20_000) == [] and kinds("a:" * 50_000 + head[0] + "\n" + "a:" * 50_000) == []
+
+
 def test_tokens_are_confirmed():
     head, body = url64(b'{"alg":"HS256","typ":"JWT"}'), url64(json.dumps({"sub": "é"}).encode())
     text = f"ü {head}.{body}.sig-_9 end"
