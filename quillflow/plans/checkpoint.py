@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillflow import fs
+
 STATES = ("pending", "in-progress", "done", "failed")
 
 
@@ -98,19 +101,32 @@ class CheckpointTree:
 def tree_order(nodes: DataFrame) -> DataFrame:
     """``nodes`` (run_id, node_id, parent_id, ord, state, ...) with depth and path, whose order is the pre-order.
 
-    Levels are joined to their parents one after the other, by run and parent.
+    Each node knows an ancestor above what its path covers, at first its parent. A round
+    joins all nodes to theirs and doubles the distance, so a tree of any size and depth
+    takes a round for each power of two below its depth. A round is written once and
+    read by the next. Nodes that no root leads to are left out.
     """
-    spark = nodes.sparkSession
-    view = "_nodes"
-    nodes.createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE tree AS (
-          SELECT run_id, node_id, parent_id, ord, state, 0 AS depth, lpad(cast(ord AS string), 10, '0') AS path FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.run_id, n.node_id, n.parent_id, n.ord, n.state, t.depth + 1, concat(t.path, '/', lpad(cast(n.ord AS string), 10, '0'))
-          FROM {view} n JOIN tree t ON n.run_id = t.run_id AND n.parent_id = t.node_id
-        ) SELECT * FROM tree
-    """)
+    own = F.lpad(F.col("ord").cast("string"), 10, "0")
+    todo = _written(nodes.select("run_id", "node_id", "parent_id", "ord", "state", F.lit(0).alias("depth"), own.alias("path"), F.col("parent_id").alias("up")))
+    done = []
+    while True:
+        # a round that ends no path is followed by none that does
+        ended, todo = todo.where("up is null"), todo.where("up is not null")
+        done.append(ended.drop("up"))
+        if done[1:] and ended.isEmpty() or todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        above = reduce(DataFrame.unionByName, [x.withColumn("up", F.lit(None).cast(todo.schema["up"].dataType)) for x in done], todo)
+        wanted = todo.select(F.col("run_id").alias("w_run"), F.col("up").alias("w_up")).distinct()
+        above = above.join(wanted, (F.col("run_id") == F.col("w_run")) & (F.col("node_id") == F.col("w_up")), "left_semi")
+        above = above.select(F.col("run_id").alias("a_run"), F.col("node_id").alias("a_node"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"), F.col("up").alias("a_up"))
+        met = todo.join(above, (F.col("run_id") == F.col("a_run")) & (F.col("up") == F.col("a_node")))
+        todo = _written(met.select("run_id", "node_id", "parent_id", "ord", "state", (F.col("depth") + F.col("a_depth") + 1).alias("depth"), F.concat("a_path", F.lit("/"), "path").alias("path"), F.col("a_up").alias("up")))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = fs.scratch(df.sparkSession, "tree")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def count_by_state(nodes: DataFrame) -> DataFrame:

@@ -44,6 +44,22 @@ def test_tree(spark):
     assert {(r.state, r.n) for r in count_by_state(df).collect()} == {("done", 2), ("pending", 2)}
 
 
+def test_deep_and_wide_trees(spark):
+    """Beyond the levels and rows at which Spark stops a recursive query; orphans and circles aren't in a tree."""
+    schema = "run_id string, node_id string, parent_id string, ord long, state string"
+    chain = [("deep", f"n{i}", f"n{i - 1}" if i else None, 0, "done" if i < 299 else "failed") for i in range(300)]
+    lost = [("deep", "x", "nowhere", 0, "pending"), ("deep", "y", "x", 0, "pending"), ("deep", "u", "v", 0, "pending"), ("deep", "v", "u", 0, "pending")]
+    wide = [("wide", "root", None, 0, "done")]
+    df = spark.createDataFrame(chain + lost + wide, schema)
+    df = df.union(spark.range(1_100_000).selectExpr("'wide'", "concat('c', id)", "'root'", "id", "if(id < 7, 'done', 'pending')"))
+    ordered = tree_order(df)
+    assert {(r.run_id, r.n, r.d) for r in ordered.groupBy("run_id").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()} == {("deep", 300, 299), ("wide", 1_100_001, 1)}
+    assert {(r.run_id, r.node_id, r.depth) for r in first_open(ordered).collect()} == {("deep", "n299", 299), ("wide", "c7", 1)}
+    paths = ordered.where("run_id = 'deep'").orderBy("path").collect()
+    assert [(r.node_id, r.depth) for r in paths] == [(f"n{i}", i) for i in range(300)] and paths[2].path == "/".join(["0" * 10] * 3)
+    assert tree_order(df.limit(0)).collect() == []
+
+
 def docs(spark, n=6):
     return spark.createDataFrame([(i, f"Line {i}\nEND") for i in range(n)], "id long, text string")
 
