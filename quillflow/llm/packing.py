@@ -3,16 +3,20 @@
 Every full window's worth of a document is a sequence of its own. The rests of a
 group of documents are dealt to k windows by differencing: starting with one partial
 partition for each rest, the two with the largest imbalance are merged, the larger
-sums of one on the smaller sums of the other, which leaves near-equal windows. What
-exceeds a window's capacity is cut off and fills windows with room; if some is left,
-the window count rises, with last windows at powers of two, which need no padding.
-Groups are formed within a partition, so nothing is shuffled.
+sums of one on the smaller sums of the other, which leaves near-equal windows. While
+one exceeds the capacity, k rises. The fullest windows, as many as the ids can fill,
+are kept whole; the others are dissolved and their documents fill the room in those
+kept, cut only where none fits. What is left goes to the next group, at the end of a
+partition into sequences at powers of two, which need no padding: only those, with
+fewer ids together than the capacity, are shorter than it. Groups are formed within
+a partition, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,14 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     tick = len(sizes)
     while len(heap) > 1:
         _, _, a, ax = heapq.heappop(heap)
+        # while windows are empty, the next item takes one, and the imbalance stays the largest sum
+        while heap and len(a) < k - 1 and len(heap[0][2]) == 1 and heap[0][2][0] <= a[-1]:
+            _, _, b, bx = heapq.heappop(heap)
+            a += b
+            ax += bx
+        if not heap:
+            heapq.heappush(heap, (-a[0], tick, a, ax))
+            break
         _, _, b, bx = heapq.heappop(heap)
         free = k - len(a)
         # b's largest sums meet a's empty windows first, then a's smallest sums
@@ -66,44 +78,69 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out + [[] for _ in range(k - len(out))]
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (item, start, length) for documents of the given lengths."""
-    done, rests = [], []
-    for d, n in enumerate(lengths):
-        full = n - n % capacity
-        done += [[(d, at, capacity)] for at in range(0, full, capacity)]
-        if n > full:
-            rests.append((d, full, n - full))
-    k = sum(x[2] for x in rests) // capacity
-    windows = [[rests[i] for i in w] for w in differencing([x[2] for x in rests], k)] if k else []
-    over, room = ([] if k else rests), []
-    for w in windows:
-        left, own = capacity, []
-        for d, at, n in w:
-            take = min(n, left)
-            if take:
-                own.append((d, at, take))
+def raised(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows by differencing, as few as the total asks for and more while one exceeds the capacity."""
+    k = -(-sum(sizes) // capacity)
+    while k:
+        windows = differencing(sizes, k)
+        most = max(sum(sizes[i] for i in w) for w in windows)
+        if most <= capacity:
+            return windows
+        k = max(k + 1, k * most // capacity)
+    return []
+
+
+Piece = tuple[int, int, int]
+
+
+def fill(rests: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full sequences of pieces (item, start, length), each shorter than the capacity, and the pieces that are left over."""
+    full = sum(x[2] for x in rests) // capacity
+    windows = [[rests[i] for i in w] for w in raised([x[2] for x in rests], capacity)] if full else [rests]
+    windows.sort(key=lambda w: -sum(x[2] for x in w))
+    kept = windows[:full]
+    loose = sorted(((n, d, at) for w in windows[full:] for d, at, n in w))
+    for w in kept:
+        room = capacity - sum(x[2] for x in w)
+        while room:
+            i = bisect_right(loose, (room, float("inf"), 0)) - 1
+            n, d, at = loose.pop(max(i, 0))  # the longest that fits, else a part of the shortest
+            take = min(n, room)
+            w.append((d, at, take))
+            room -= take
             if take < n:
-                over.append((d, at + take, n - take))
-            left -= take
-        done.append(own)
-        if left:
-            room.append([own, left])
-    rest = sum(x[2] for x in over) - sum(x[1] for x in room)
+                insort(loose, (n - take, d, at + take))
+    return kept, [(d, at, n) for n, d, at in loose]
+
+
+def whole(d: int, n: int, capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
+    """The full sequences of one document, and its rest."""
+    full = n - n % capacity
+    return [[(d, at, capacity)] for at in range(0, full, capacity)], [(d, full, n - full)] if n > full else []
+
+
+def tail(rests: list[Piece], capacity: int) -> list[list[Piece]]:
+    """Sequences at descending powers of two from pieces that have fewer ids together than the capacity."""
+    total, todo, out = sum(x[2] for x in rests), rests[::-1], []
     for bit in range(capacity.bit_length(), -1, -1):
-        if rest >> bit & 1:
-            done.append([])
-            room.append([done[-1], 1 << bit])
-    todo = over[::-1]
-    for own, left in room:
+        left = total & 1 << bit
+        if left:
+            out.append([])
         while left:
             d, at, n = todo.pop()
             take = min(n, left)
-            own.append((d, at, take))
+            out[-1].append((d, at, take))
             left -= take
             if take < n:
                 todo.append((d, at + take, n - take))
-    return done
+    return out
+
+
+def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[Piece]]:
+    """Sequences of pieces (item, start, length) for documents of the given lengths, as one group."""
+    parts = [whole(d, n, capacity) for d, n in enumerate(lengths)]
+    kept, left = fill([x for _, rest in parts for x in rest], capacity)
+    return [seq for seqs, _ in parts for seq in seqs] + kept + tail(left, capacity)
 
 
 def packer(path: str, capacity: int, end: int):
@@ -111,42 +148,47 @@ def packer(path: str, capacity: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base, made = tokens.encoder(path).encode, TaskContext.get().partitionId() << 40, 0
-        ids: list[pa.Array] = []
-        parts: list[np.ndarray] = []
-        lengths: list[int] = []
+        #: Of each document of the group, and of those carried on from the group before: id, its length, ids that start at a place.
+        group: list[tuple[int | None, int, int, np.ndarray]] = []
+        carried: list[Piece] = []
+        held = 0
 
-        def flush() -> pa.RecordBatch:
+        def written(sequences: list[list[Piece]]) -> pa.RecordBatch:
             nonlocal made
-            offs = np.concatenate([[0], np.cumsum(lengths)])
-            flat, rows = np.concatenate(parts), []
-            for seq in pack(lengths, capacity):
+            rows = []
+            for seq in sequences:
                 at = 0
                 for d, start, n in seq:
-                    lo = int(offs[d]) + start
-                    rows.append((d, start, n, zlib.crc32(flat[lo : lo + n]), lengths[d], base + made, at))
+                    who, total, first, ids = group[d]
+                    rows.append((who, start, n, zlib.crc32(ids[start - first : start - first + n]), total, base + made, at))
                     at += n
                 made += 1
-            cols = np.array(rows, np.int64).T
-            who = pa.concat_arrays(ids).take(pa.array(cols[0]))
-            ids.clear(), parts.clear(), lengths.clear()
-            return pa.RecordBatch.from_arrays([who, *map(pa.array, cols[1:])], NAMES)
+            cols = list(zip(*rows, strict=True)) or [()] * len(NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal carried, held
+            parts = [whole(d, group[d][1], capacity) for d in range(len(carried), len(group))]
+            kept, left = fill(carried + [x for _, rest in parts for x in rest], capacity)
+            out = written([seq for seqs, _ in parts for seq in seqs] + kept)
+            group[:] = [(group[d][0], group[d][1], at, group[d][3][at - group[d][2] :][:n].copy()) for d, at, n in left]
+            carried, held = [(i, at, n) for i, (_, at, n) in enumerate(left)], 0
+            return out
 
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             for at, flat, off in encode(batch.column(1)):
-                n = np.diff(off)
                 with_end = np.insert(flat, off[1:], end).astype("<u4")
-                lo, offs = 0, np.concatenate([[0], np.cumsum(n + 1)])
-                while lo < len(n):
-                    space = GROUP_IDS - sum(map(len, parts))
-                    hi = min(len(n), lo + GROUP_DOCS - len(lengths), max(lo + 1, int(np.searchsorted(offs, offs[lo] + space, side="right")) - 1))
-                    ids.append(batch.column(0).slice(at + lo, hi - lo))
-                    parts.append(with_end[offs[lo] : offs[hi]])
-                    lengths.extend((n[lo:hi] + 1).tolist())
-                    lo = hi
-                    if len(lengths) >= GROUP_DOCS or sum(map(len, parts)) >= GROUP_IDS:
+                offs = off + np.arange(len(off))
+                for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                    group.append((ids[at + i], hi - lo, 0, with_end[lo:hi]))
+                    held += hi - lo
+                    if len(group) - len(carried) >= GROUP_DOCS or held >= GROUP_IDS:
                         yield flush()
-        if lengths:
+        if len(group) > len(carried):
             yield flush()
+        if carried:
+            yield written(tail(carried, capacity))
 
     return run
 
@@ -156,9 +198,10 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A document's ids are its text's, then ``end``; a null or empty text has just ``end``.
     Each id lies in one piece. Rows that repeat an id, or have a null id, are documents of
-    their own (their pieces carry the same doc_id, or null). A sequence has at most
-    ``capacity`` ids and its offsets run from 0 without gaps. Other columns aren't read.
-    An empty table gives no pieces.
+    their own (their pieces carry the same doc_id, or null). Every sequence has
+    ``capacity`` ids, but for the last of a partition at powers of two; its offsets run
+    from 0 without gaps. Long texts are whole; a batch and a group of documents are in
+    memory at once. Other columns aren't read. An empty table gives no pieces.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,8 +1,8 @@
 """Vectorised hashing of words and word shingles over Arrow string columns.
 
-A chunk of texts is one byte buffer. Words are found with table look-ups, hashed
-with a prefix sum of random byte values times powers of an odd base (mod 2**64),
-and finished with a 64-bit mixer, so no Python code runs per word.
+A chunk of texts is one byte buffer. Words are found with table look-ups and hashed
+eight bytes at a time, each block mixed into what came before it, so no Python code
+runs per word; only spans of more than SHORT bytes are hashed one by one.
 """
 
 from __future__ import annotations
@@ -12,19 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 2**64, 256, dtype=U)
 _MULT = _RNG.integers(1, 2**64, 64, dtype=U) | U(1)
-_BASE = int(_RNG.integers(1, 2**64, dtype=U)) | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK_BYTES = 1 << 19
-_POWERS: dict[int, np.ndarray] = {}
+#: Spans of at most so many bytes are hashed all at once.
+SHORT = 64
+_REST = U(0xFFFFFFFFFFFFFFFF) >> np.arange(64, -1, -8).clip(0, 63).astype(U)
+_REST[0] = 0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,20 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
-        have = np.ones(size, dtype=U)
-        done = 1
-        while done < size:
-            step = min(done, size - done)
-            have[done : done + step] = have[:step] * U(pow(base, done, 2**64))
-            done += step
-        _POWERS[base] = have
-    return have[:n]
-
-
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of whole rows of about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -122,12 +109,21 @@ def list_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes."""
-    n = len(data)
-    total = np.empty(n + 1, U)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INVERSE, n)[starts]
-    h += (ends - starts).astype(U) * _MULT[63]
+    size = ends - starts
+    h = size.astype(U) * _MULT[63]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    which, long = None, size > SHORT
+    for block in range(SHORT // 8):
+        which = np.flatnonzero(~long & (size > 0)) if which is None else which[size[which] > 8 * block]
+        if not len(which):
+            break
+        part = at_byte[starts[which] + 8 * block]
+        part &= _REST[np.minimum(size[which] - 8 * block, 8)]
+        part ^= h[which]
+        h[which] = mix(part * _MULT[62 - block])
+    for i in np.flatnonzero(long).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
     return mix(h)
 
 

@@ -113,3 +113,22 @@ def test_word_bounds():
 
     for text in ("a b", " a\x0bb\x0c", "a b", "a　b c", "\x1ca", ""):
         assert count(text) == len(re.findall(r"[^\x20\x09-\x0D]+", text))
+
+
+def test_spans_have_hashes_of_their_own():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 3000, dtype=np.uint8)
+    starts = rng.integers(0, 2800, 30_000)
+    ends = starts + rng.integers(0, 150, 30_000)
+    raw, seen = data.tobytes(), {}
+    for a, b, h in zip(starts.tolist(), ends.tolist(), T.hash_spans(data, starts, ends).tolist(), strict=True):
+        assert seen.setdefault(raw[a:b], h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_words_that_a_polynomial_takes_for_equal(frame):
+    text = "a"
+    while len(text) < 1024:
+        text += text.translate({97: "b", 98: "a"})
+    rows = [(1, text), (2, text.translate({97: "b", 98: "a"})), (3, text)]
+    check(frame(rows), rows)

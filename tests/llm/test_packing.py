@@ -102,3 +102,51 @@ def test_repeats_and_empty(frame):
     found = K.pack_documents(frame(rows)).collect()
     assert sum(r.length for r in found) == 7 and sorted(str(r.doc_id) for r in found if r.start == 0) == ["1", "1", "None", "None"]
     assert K.pack_documents(frame([])).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 15), max_size=40))
+def test_no_window_exceeds_the_capacity(sizes):
+    windows = K.raised(sizes, 16)
+    assert sorted(itertools.chain(*windows)) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in w) <= 16 for w in windows) and len(windows) >= -(-sum(sizes) // 16)
+
+
+def test_few_documents_are_cut():
+    rng = random.Random(3)
+    for draw in (lambda: rng.randint(1, 2047), lambda: min(2047, 1 + int(rng.lognormvariate(5.5, 1)))):
+        lengths = [draw() for _ in range(1024)]
+        pieces = defaultdict(int)
+        for seq in K.pack(lengths, 2048):
+            for d, *_ in seq:
+                pieces[d] += 1
+        assert sum(n > 1 for n in pieces.values()) <= 0.05 * len(lengths)
+        assert len(K.raised(lengths, 2048)) <= 1.05 * sum(lengths) / 2048 + 1
+
+
+def test_short_sequences_only_at_the_end_of_a_partition(frame, words, monkeypatch):
+    monkeypatch.setattr(K, "GROUP_DOCS", 7)
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng.randint(0, 400), i))) for i in range(90)]
+    seqs = defaultdict(int)
+    for r in K.pack_documents(frame(rows), capacity=256).collect():
+        seqs[r.sequence_id] += r.length
+    by = defaultdict(list)
+    for s, n in sorted(seqs.items()):
+        by[s >> 40].append(n)
+    for sizes in by.values():
+        short = [n for n in sizes if n < 256]
+        assert sizes == [256] * (len(sizes) - len(short)) + short and short == sorted(set(short), reverse=True) and all(n & (n - 1) == 0 for n in short)
+
+
+def test_texts_that_a_polynomial_takes_for_equal(plain):
+    import pyarrow as pa
+
+    text = "a"
+    while len(text) < 1024:
+        text += text.translate({97: "b", 98: "a"})
+    other = text.translate({97: "b", 98: "a"})
+    got = []
+    for t in (text, other):
+        got += [flat.tolist() for _, flat, _ in tokens.encoder(tokens.default_path()).encode(pa.array([t]))]
+    assert got == [plain(text), plain(other)]
