@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillflow.llm.decontaminate import op3_decontaminate
-from quillflow.llm.fingerprint import op2_fingerprint
+from quillflow.llm.fingerprint import fingerprint_edits, op2_fingerprint
 from quillflow.llm.html import op5_html
 from quillflow.llm.language import op4_language, pages_language
 from quillflow.llm.minhash import op1_minhash
@@ -17,7 +17,7 @@ from quillflow.llm.urls import op6_urls
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing, op10_toxicity, pages_language, sharding_round_trip,
+        op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing, op10_toxicity, fingerprint_edits, pages_language, sharding_round_trip,
     )
 }
 

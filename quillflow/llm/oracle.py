@@ -24,4 +24,12 @@ WITH RECURSIVE cut AS (
 SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 SHARDS = "SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM documents"
-ORACLE_SQL = {"op1_minhash": MINHASH, "op6_urls": URLS, "sharding_round_trip": SHARDS}
+EDITS = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), pairs AS (
+  SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM docs
+)
+SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 4) || substr(next_text, 1, n // 4)) AS edited_sha256 FROM pairs
+"""
+ORACLE_SQL = {"fingerprint_edits": EDITS, "op1_minhash": MINHASH, "op6_urls": URLS, "sharding_round_trip": SHARDS}

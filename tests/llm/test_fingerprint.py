@@ -1,7 +1,11 @@
 import hashlib
 import random
+import re
+import struct
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from quillflow.llm import fingerprint as P
 
@@ -119,3 +123,70 @@ def test_likeness_of_repeated_passages(frame, words):
 def test_no_python_in_the_plan(spark, capsys):
     P.op2_fingerprint(spark, "/root/testdata/sf0.001").explain("formatted")
     assert not any(x in capsys.readouterr().out for x in ("Python", "Arrow", "Pandas"))
+
+
+def order_minhash(text):
+    """The signature in plain Python: number all k-mers, then sort them anew for each slot."""
+
+    def chain(values, raw=lambda v: v):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(raw(v), seed=h)
+        return h
+
+    long = lambda v: struct.pack("<Q", v % (1 << 64))
+    mask, place = (1 << 64) - (1 << P.PLACE_BITS), (1 << P.PLACE_BITS) - 1
+    other = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+    spaced = rf"[^\s{other}]"
+    t = [m[0].encode() for m in re.finditer(rf"\s*(?:{spaced}{{1,{P.WORD}}}+(?!{spaced})|\S)", text, re.ASCII)]
+    grams = [chain(t[i : i + P.KMER], bytes) & mask for i in range(len(t) - P.KMER + 1)] or [chain([b"|".join(t)], bytes) & mask if t else 0]
+    seen, items = {}, []
+    for p, g in enumerate(grams):
+        n = seen[g] = seen.get(g, -1) + 1
+        items.append((xxhash.xxh64_intdigest(struct.pack("<i", n), seed=xxhash.xxh64_intdigest(long(g), seed=42)) & mask | p))
+    sig = []
+    for start in P.STARTS:
+        two = sorted(items, key=lambda x: (x - start) % (1 << 64))[:2]
+        two = sorted(two * 2 if len(two) == 1 else two, key=lambda x: x & place)
+        sig.append(chain([x & mask for x in two], long) & 0xFFFFFFFF)
+    return sig
+
+
+def test_equals_order_minhash_in_plain_python(frame, words):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(words(12, i), k=rng.randint(0, 90))) for i in range(140)]
+    texts += ["".join(rng.choices("的一是在不了有和人这 ab", k=rng.randint(0, 120))) for _ in range(50)]
+    texts += ["", " ", "a", "a b", "　x", "long" * 30, "ab " * 50, "\U00020001é\U0001f600", "x" * 24, "x" * 25]
+    df = P.signed(P.numbered(frame(texts).select("doc_id", "text"), "text", "items"), "items", "sig")
+    for r in df.collect():
+        assert r.sig == order_minhash(r.text), r
+
+
+@pytest.mark.parametrize("letters", ["的一是在不了有和人这中大为上个国我以要他", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_one_insertion_in_a_text_without_spaces(frame, letters):
+    text = "".join(random.Random(1).choices(letters, k=4000))
+    sig = {r.doc_id: r.sig for r in P.slots(P.sampled(frame([text, text[:700] + "x" + text[700:]]), "text", ["doc_id"]), ["doc_id"]).collect()}
+    assert sum(a == b for a, b in zip(sig[0], sig[1], strict=True)) / P.SLOTS > 0.8
+
+
+def test_buckets_with_an_outlying_id(frame, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 50)
+    rows = [(i * 3, f"t{i} a b c d") for i in range(1000)] + [(1 << 62, "far"), (-(1 << 62), "near")]
+    df, low = P.buckets(frame(rows).select("doc_id", "text"))
+    sizes = {r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()}
+    assert low == -(1 << 62) and len(sizes) >= 15 and max(sizes.values()) <= 150
+    last = -1
+    for r in df.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("bucket").collect():
+        assert r.a > last or r.a == low
+        last = r.b
+    found = {r.doc_id: r for r in P.fingerprints(frame(rows)).collect()}
+    want = edited(dict(rows), sorted(i for i, _ in rows))
+    assert all(found[i].edited_sha256 == hashlib.sha256(want[i].encode()).hexdigest() for i in want)
+
+
+def test_other_columns_of_any_name(spark, words):
+    names = ["bucket", "rn", "last", "sig", "edited", "_s", "_t", "after", "found"]
+    rows = [(i, " ".join(words(20, i))) for i in range(6)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(P.fingerprints(plain).collect()) == sorted(P.fingerprints(more).collect())
