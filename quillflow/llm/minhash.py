@@ -4,10 +4,10 @@ Each permutation contributes both the smallest and the largest hash of a documen
 word shingles, so 64 permutations give 128 signature values. Four values of one side
 form a band; 32 bands find a pair of similarity 0.75 with probability 1 - 5e-6.
 Documents with the same shingle set collapse into one class first. In every bucket
-of a band each class is compared with one hub; only the classes that aren't linked
-with their hub are compared with the rest of its cluster, in blocks, so a large group
-of copies makes no more rows than its size. Links are confirmed on the full
-shingle sets and joined to connected components.
+of a band each class is compared with one hub; only the classes that don't come out in
+their hub's component are compared with all that share a bucket with this hub, in
+blocks, so a large group of copies makes no more rows than its size. Links are
+confirmed on the full shingle sets and joined to connected components.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm import textops as T
-from quillflow.llm.graph import components
+from quillflow.llm.graph import components, spread_join
 from quillflow.llm.staging import small_batches, stage, table
 
 PERMUTATIONS, ROWS, WORDS, PERCENT = 64, 4, 5, 75
@@ -90,8 +90,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked if 100 * intersection >= percent * union. A null or wordless text has the
     empty set and is linked with nothing. Rows that repeat an id are one document with
     the same component. A row whose id is null can't be named: it is linked with
-    nothing, has a null component and is kept. Columns besides the two named are not
-    read, whatever their names. An empty table gives an empty result.
+    nothing, has a null component and is kept. Texts count whole, however long; one
+    chunk of rows and its sets are in memory at once. Of pairs with the same similarity
+    all are links. Columns besides the two named are not read, whatever their names. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -108,45 +110,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = stage(texts.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingle_sets(k), "id long, own array<long>").dropDuplicates(["id"]), "sets")
     links = confirm(stars.where(f"least(n, m) * 100 >= greatest(n, m) * {percent}").select("a", "b"), sets, percent)
-    more = strays(stars.select("a", "b"), links, sets, percent)
-    if more is not None:
-        links = links.union(more)
     roots = components(links)
-    named = classes.select("s1", "s2", "n_shingles", F.col("rep").alias("id")).join(roots, "id", "left").withColumn("component_id", F.coalesce("root", "id"))
-    same = "x.s1 = c.s1 and x.s2 = c.s2 and x.n_shingles = c.n_shingles and x.n_shingles > 0 and x.doc_id is not null"
-    found = signed.drop("bands").alias("x").join(named.alias("c"), F.expr(same), "left")
-    found = found.select("x.doc_id", "x.n_shingles", F.coalesce("c.component_id", "x.doc_id").alias("component_id"))
+    more = strays(stars, links, roots, sets, percent)
+    if more is not None:
+        roots = components(links.union(more))
+    named = classes.select("s1", "s2", "n_shingles", F.col("rep").alias("id")).join(roots, "id", "left").withColumn("component_id", F.coalesce("root", "id")).drop("id", "root")
+    here = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    found = spread_join(signed.drop("bands").where(here), named, ["s1", "s2", "n_shingles"], "doc_id")
+    found = found.select("doc_id", "n_shingles", "component_id").union(signed.where(~here).select("doc_id", "n_shingles", "doc_id"))
     return found.withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, staged."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    both = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("own").alias("x")), ["a"], "b").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("i"))
     return stage(both.where(f"i * 100 >= (n + m - i) * {percent}").select("a", "b"), "links")
 
 
-def strays(stars: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Further links, staged, that join the components within clusters of overlapping buckets.
+def strays(stars: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Further links, staged, that join the components of documents that share a bucket.
 
-    Whoever isn't in the component of its cluster's smallest id is compared with the
-    whole cluster, in blocks of bounded size; a block yields just the links that join
+    Whoever isn't in its hub's component is compared with all that share a bucket with
+    this hub, in blocks of bounded size; a block yields just the links that join
     components, never its pairs.
     """
-    rooted = lambda roots, out: sets.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias(out))
-    who = rooted(components(stars), "cluster").join(rooted(components(links), "own_root"), "id").join(sets.select("id", F.size("own").cast("long").alias("n")), "id")
-    who = stage(who.withColumn("outer", F.expr("own_root <> cluster")), "clusters")  # a cluster's smallest id is its component's, too
-    blocks = who.groupBy("cluster").agg(
-        *(F.greatest(F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_SHINGLES), F.ceil(F.count_if(c) / BLOCK_ROWS)).alias(f"{x}_blocks") for x, c in (("outer", F.col("outer")), ("all", F.lit(True))))
-    )
-    blocks = stage(blocks.where("outer_blocks > 0"), "blocks")
-    if blocks.isEmpty():
+    ids = sets.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    # a pair that isn't a link itself may still lie in one component
+    apart = stars.join(links, ["a", "b"], "left_anti").join(ids.select(F.col("id").alias("b"), F.col("root").alias("b_root")), "b")
+    apart = spread_join(stage(apart, "open"), ids.select(F.col("id").alias("a"), F.col("root").alias("a_root")), ["a"], "b")
+    apart = stage(apart.where("a_root <> b_root").select("a", "b", F.col("m").alias("size"), "b_root"), "apart")
+    near = stage(apart.groupBy("a").agg(F.count("*").alias("outer_rows"), F.sum("size").alias("outer_size")), "outer")
+    if near.isEmpty():
         return None
-    rows = who.join(blocks, "cluster").withColumn("h", F.xxhash64("id"))
-    left = rows.where("outer").select("cluster", "id", "own_root", F.expr("pmod(h, outer_blocks)").alias("i"), F.expr("explode(sequence(0L, all_blocks - 1))").alias("j"), F.lit(True).alias("left"))
-    right = rows.select("cluster", "id", "own_root", F.expr("explode(sequence(0L, outer_blocks - 1))").alias("i"), F.expr("pmod(h, all_blocks)").alias("j"), F.lit(False).alias("left"))
+    hubs = F.broadcast(near.select("a")) if near.count() <= BROADCAST_IDS else near.select("a")
+    own = stars.join(hubs, "a", "left_semi")
+    members = own.select("a", F.col("b").alias("id"), F.col("m").alias("size")).union(own.select("a", F.col("a").alias("id"), F.col("n").alias("size")).distinct())
+    members = stage(members.join(ids, "id").select(F.col("a").alias("hub"), "id", "size", F.col("root").alias("own_root")), "members")
+    every = members.groupBy("hub").agg(F.count("*").alias("all_rows"), F.sum("size").alias("all_size"))
+    blocks = near.withColumnRenamed("a", "hub").join(every, "hub").select("hub", *(F.expr(f"cast(greatest(ceil({x}_size / {BLOCK_SHINGLES}), ceil({x}_rows / {BLOCK_ROWS})) as int)").alias(f"{x}_blocks") for x in ("outer", "all")))
+    blocks = stage(blocks, "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_IDS else blocks
+    left = apart.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("b_root").alias("own_root")).join(blocks, "hub")
+    left = left.select("hub", "id", "own_root", F.expr("pmod(xxhash64(id), outer_blocks)").alias("i"), F.expr("explode(sequence(0L, all_blocks - 1L))").alias("j"), F.lit(True).alias("left"))
+    right = members.join(blocks, "hub")
+    right = right.select("hub", "id", "own_root", F.expr("explode(sequence(0L, outer_blocks - 1L))").alias("i"), F.expr("pmod(xxhash64(id), all_blocks)").alias("j"), F.lit(False).alias("left"))
     both = left.unionByName(right).join(sets, "id")
-    return stage(both.groupBy("cluster", "i", "j").applyInArrow(block_links(percent), "a long, b long"), "links")
+    return stage(both.groupBy("hub", "i", "j").applyInArrow(block_links(percent), "a long, b long"), "links")
 
 
 def block_links(percent: int):

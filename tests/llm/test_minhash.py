@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillflow.llm import minhash as M
 from quillflow.llm import textops as T
@@ -132,3 +133,36 @@ def test_words_that_a_polynomial_takes_for_equal(frame):
         text += text.translate({97: "b", 98: "a"})
     rows = [(1, text), (2, text.translate({97: "b", 98: "a"})), (3, text)]
     check(frame(rows), rows)
+
+
+def test_rows_grow_with_the_documents_that_share_a_passage(frame, words, monkeypatch):
+    """Documents that aren't alike but share a passage and so buckets; rows staged, and copied to blocks, grow in proportion."""
+    passage, seen, made = " ".join(words(120, 1)), {}, M.stage
+
+    def counted(df, name):
+        out = made(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(M, "stage", counted)
+    totals = []
+    for n in (500, 1000, 2000):
+        seen.clear()
+        rows = [(i, passage + " " + " ".join(words(70, 5000 + i))) for i in range(n)]
+        found = M.near_duplicates(frame(rows)).collect()
+        assert all(r.component_id == r.doc_id for r in found) and seen["members"] > n
+        totals.append(sum(seen.values()))
+    assert totals[1] < 2.3 * totals[0] and totals[2] < 2.3 * totals[1]
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from quillflow.llm import graph as G
+
+    monkeypatch.setattr(G, "SPLIT_ROWS", 20)
+    many = spark.range(1000).select((F.col("id") % 10 * (F.col("id") % 3 == 0).cast("int")).alias("k"), "id")
+    one = spark.range(11).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = G.spread_join(many, one, ["k"], "id").select("k", "id", "v")
+    assert sorted(got.collect()) == sorted(many.join(one, "k").select("k", "id", "v").collect()) and got.count() == 1000
+    star = spark.range(1, 500).select(F.col("id").alias("x"), F.lit(0).cast("long").alias("y")).union(spark.range(500, 900).select("id", F.lit(899).cast("long")))
+    roots = {r.id: r.root for r in G.components(star).collect()}
+    assert roots == {i: 0 for i in range(1, 500)} | {i: 500 for i in range(501, 900)}
