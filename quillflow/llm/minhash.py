@@ -28,7 +28,7 @@ PERMUTATIONS, ROWS, WORDS, PERCENT = 64, 4, 5, 75
 #: At most so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bounds of a block in which sets are compared, and the columns of a slab of its incidence matrix.
-BLOCK_ROWS, BLOCK_SHINGLES, SLAB = 1000, 1_000_000, 4096
+BLOCK_ROWS, BLOCK_SHINGLES, SLAB = 300, 300_000, 4096
 U = np.uint64
 
 
