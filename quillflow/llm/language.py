@@ -58,10 +58,13 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Log likelihoods of trigrams by language, with ``und`` last."""
+    """Log likelihoods of trigrams by language, with ``und`` last.
 
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights
+    ``fitted`` has the hashes of the texts that it was fitted on, whose labels it knows.
+    """
+
+    def __init__(self, languages: list[str], weights: np.ndarray, fitted: frozenset[int] = frozenset()):
+        self.languages, self.weights, self.fitted = languages, weights, fitted
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], known: set[str] | None = None) -> Model:
@@ -108,17 +111,24 @@ def fit(docs: DataFrame, text: Column, label: Column) -> Model:
     limit = F.create_map(*(F.lit(x) for kv in lowest.items() for x in kv))[F.col("l")]
     chosen = rows.where(F.col("h") <= limit).select("l", "h", F.substring("t", 1, TRAIN_CHARS).alias("t")).dropDuplicates(["l", "h"])
     chosen = chosen.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("i") <= most)
-    return Model.fit([(r.t, r.l) for r in chosen.select("t", "l").collect()], set(lowest))
+    chosen = chosen.select("t", "l", "h").collect()
+    model = Model.fit([(r.t, r.l) for r in chosen], set(lowest))
+    model.fitted = frozenset(r.h for r in chosen)
+    return model
 
 
-def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column, names: tuple[str, str, str] = ("_language", "_probability", "_kept")) -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column, labelled: bool = False, names: tuple[str, str, str] = ("_language", "_probability", "_kept")
+) -> DataFrame:
     """``docs`` with three more columns, by default ``_language``, ``_probability``, ``_kept``; they replace columns of the same name.
 
     A row is kept unless its language is ``und`` or its probability is below one half.
     A text that is null, empty or without letters has no likelihood of its own and is
-    ``und``. Null or unknown declarations and hosts are no evidence. Rows that repeat
-    count as often for their host. An empty table stays empty; other columns, whatever
-    their names, pass through.
+    ``und``. Null or unknown declarations and hosts are no evidence; if the model's
+    labels are the declarations (``labelled``), neither is that of a text it was fitted
+    on. Of languages with the same posterior the first in order wins. Texts count whole,
+    a batch of rows is in memory at once. Rows that repeat count as often for their host.
+    An empty table stays empty; other columns, whatever their names, pass through.
     """
     spark, n = docs.sparkSession, len(model.languages)
     small_batches(spark)
@@ -130,6 +140,8 @@ def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, h
     last = F.regexp_extract(address, r"\.([a-z]+)(?::\d+)?$", 1)
     spoken = F.coalesce(F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))[last], F.lit(""))
     said = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]+", 0)
+    if labelled and model.fitted:
+        said = F.when(F.xxhash64(text.cast("string")).isin(*sorted(model.fitted)), F.lit("")).otherwise(said)
     rows = docs.select("*", text.cast("string").alias(tag + "_text"), said.alias(tag + "_said"), address.alias(tag + "_host"), F.when(last == "", F.lit("")).otherwise(last).alias(tag + "_last"), spoken.alias(tag + "_spoken"))
     shared = spark.sparkContext.broadcast((model.languages, model.weights))
 
@@ -189,7 +201,7 @@ def identify(docs: DataFrame, model: Model, *, text: Column, declared: Column, h
 
 def document_languages(docs: DataFrame, **named) -> DataFrame:
     """``documents`` with their languages: ``lang`` is what is declared, ``source`` the host."""
-    return identify(docs, fit(docs, F.col("text"), F.col("lang")), text=F.col("text"), declared=F.col("lang"), host=F.col("source"), **named)
+    return identify(docs, fit(docs, F.col("text"), F.col("lang")), text=F.col("text"), declared=F.col("lang"), host=F.col("source"), labelled=True, **named)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

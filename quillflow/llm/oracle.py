@@ -32,4 +32,23 @@ WITH docs AS (
 )
 SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 4) || substr(next_text, 1, n // 4)) AS edited_sha256 FROM pairs
 """
-ORACLE_SQL = {"fingerprint_edits": EDITS, "op1_minhash": MINHASH, "op6_urls": URLS, "sharding_round_trip": SHARDS}
+EXACT_ITEMS = r"""
+WITH docs AS (
+  SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents
+), items AS (
+  SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM benchmark
+)
+SELECT doc_id, item_id FROM docs JOIN items ON contains(docs.t, items.t)
+"""
+#: The spans of the three base kinds, counted; RE2's matches are leftmost and don't overlap.
+BASE_SPANS = r"""
+WITH found AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+)
+SELECT doc_id,
+       len(regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1).list_filter(lambda x: length(x) >= 12)) AS n_assign,
+       len(regexp_extract_all(t, 'AKIA[A-Z0-9]+').list_filter(lambda x: length(x) >= 18)) AS n_access,
+       len(regexp_extract_all(t, '[0-9a-f]+').list_filter(lambda x: length(x) >= 16)) AS n_hex
+FROM found
+"""
+ORACLE_SQL = {"fingerprint_edits": EDITS, "decontaminate_exact": EXACT_ITEMS, "secret_counts": BASE_SPANS, "op1_minhash": MINHASH, "op6_urls": URLS, "sharding_round_trip": SHARDS}

@@ -56,6 +56,8 @@ START64 = _starts(_BETWEEN, ["M", "[A-H]", _B64, *"CAQ", "[AE]"], [*"MI", "[E-H]
 START16 = _starts(_BETWEEN_HEX, [*"30", "[0-7]", _ANY, *"02010", "[01]"], [*"3081", _ANY, _ANY, *"02010", "[01]"], [*"3082", *[_ANY] * 4, *"02010", "[01]"], [f"[{c}{c.upper()}]" for c in b"openssh-key-v1\0".hex()])
 PART64, PART16 = re.compile(rf"({_B64}++)({_BETWEEN}*+)"), re.compile(rf"({_ANY}++)({_BETWEEN_HEX}*+)")
 SPREAD_BYTES = 1 << 16
+#: The object identifiers of password-based encryption begin so: 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1 (fixed values).
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 Span = tuple[int, str, int, int]
 
 
@@ -109,6 +111,9 @@ def private_key(data: bytes | None) -> bool:
     if not top or len(top) != 1:
         return False
     inner = elements(top[0][1])
+    if inner and [t for t, _ in inner] == [0x30, 4]:  # encrypted PKCS#8: a password-based scheme and whole blocks
+        scheme = elements(inner[0][1])
+        return bool(scheme and scheme[0][0] == 6 and scheme[0][1].startswith(PASSWORD_BASED) and len(inner[1][1]) >= 16)
     if not inner or inner[0][0] != 2:
         return False
     tags, version = [t for t, _ in inner], int.from_bytes(inner[0][1])
@@ -178,6 +183,14 @@ def spread_keys(text: str) -> Iterator[Span]:
                 yield own, "key", end + (len(re.match("={0,2}", text[end : end + 2])[0]) if bits == 6 else 0), own
 
 
+def armoured(data: bytes | None) -> bool:
+    """Whether the bytes are a text that holds a key in its armour, as in a key file that was encoded as a whole."""
+    if not data or b"-----BEGIN " not in data or not data.isascii():
+        return False
+    text = data.decode()
+    return any(private_key(from_base64(m[1])) for m in ARMOUR.finditer(text)) or any(encrypted_body(m[1], m[2]) for m in ENCRYPTED.finditer(text))
+
+
 def encrypted_body(headers: str, body: str) -> bool:
     """Whether header lines name a cipher and the body has whole blocks."""
     data = from_base64(re.sub(_BETWEEN, "", body)) if "ENCRYPTED" in headers and CIPHER.search(headers) else None
@@ -205,7 +218,8 @@ def scan(text: str | None) -> list[Span]:
         out += [(m.start(), "armour", m.end(), m.start()) for m in ARMOUR.finditer(text) if private_key(from_base64(m[1]))]
     for m in RUN.finditer(text):
         raw = m[0]
-        if private_key(from_base64(raw)) or len(raw) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", raw) and private_key(bytes.fromhex(raw)):
+        data = from_base64(raw)
+        if private_key(data) or armoured(data) or len(raw) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", raw) and private_key(bytes.fromhex(raw)):
             out.append((m.start(), "key", m.end(), m.start()))
     if "-Info:" in text:
         out += [(m.start(), "armour", m.end(), m.start()) for m in ENCRYPTED.finditer(text) if encrypted_body(m[1], m[2])]
@@ -273,3 +287,8 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text of ``documents``."""
     return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of base spans, which SQL can express."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")

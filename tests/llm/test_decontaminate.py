@@ -62,3 +62,29 @@ def test_items_in_several_passes(frame, words, monkeypatch):
     rows = list(enumerate(texts)) + [(99, "none of them")]
     assert sorted((r.doc_id, r.item_id) for r in D.contaminated(frame(rows), items).collect()) == [(i, i) for i in range(8)]
     assert [r.doc_id for r in D.decontaminate(frame(rows), items).collect()] == [99]
+
+
+def test_short_items_match_as_whole_words(frame):
+    items = frame([(0, "Blue moon"), (1, "x"), (2, "né 4?"), (3, "")], "item_id long, text string")
+    rows = [(1, "a BLUE\n moon!"), (2, "blue moons"), (3, "xx x.y"), (4, "xx yx"), (5, "NÉ 4? 5"), (6, "bluemoon"), (7, "né 4?b"), (8, None)]
+    found = D.contaminated(frame(rows), items, shortest=1)
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in found.collect()) == [(1, 0, 0), (3, 1, 0), (5, 2, 0)]
+    assert sorted(r.doc_id for r in D.decontaminate(frame(rows), items, shortest=1).collect()) == [2, 4, 6, 7, 8]
+
+
+def test_queries_find_what_brute_force_finds(spark):
+    """Every document against every item, by the plain distance where a gram is shared and by search else."""
+    data = "/root/testdata/sf0.001"
+    items = [(r.item_id, D.normal(r.text)) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        text = D.normal(r.text)
+        for i, t in items:
+            e = int(len(t) * D.ERRORS)
+            if t in text:
+                want.add((r.doc_id, i, 0))
+            elif any(t[k : k + 6] in text for k in range(len(t) - 5)) and (found := D.myers(t, text, e)):
+                want.add((r.doc_id, i, found[0]))
+    got = {(r.doc_id, r.item_id, r.distance) for r in D.op3_decontaminate(spark, data).collect()}
+    assert got == want and want
+    assert {(r.doc_id, r.item_id) for r in D.decontaminate_exact(spark, data).collect()} == {(d, i) for d, i, n in want if not n}

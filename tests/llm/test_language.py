@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,56 @@ def test_shapes(frame, spark):
     assert L.identify(long, m, **columns).first()._language == "de"
     none = L.Model.fit([])
     assert {r._language for r in L.identify(frame(["x", None]), none, **columns).collect()} == {"und"}
+
+
+def test_own_labels_are_no_evidence(spark):
+    """A text that the model was fitted on is judged without its label; others' declarations still count."""
+    rows = [(i, f"{TEXTS['en']} {i}", "de" if i == 3 else "en") for i in range(9)] + [(i, f"{TEXTS['de']} {i}", "de") for i in range(10, 16)]
+    docs = spark.createDataFrame([(*r, "h") for r in rows], "doc_id int, text string, lang string, source string")
+    m = L.fit(docs, F.col("text"), F.col("lang"))
+    assert len(m.fitted) == len(rows)
+    both = [{r.doc_id: r._probability for r in L.identify(docs, m, text=F.col("text"), declared=F.col("lang"), host=F.col("source"), labelled=x).collect()} for x in (True, False)]
+    silent = {r.doc_id: r._probability for r in L.identify(docs.withColumn("lang", F.lit("")), m, text=F.col("text"), declared=F.col("lang"), host=F.col("source")).collect()}
+    assert both[0] == pytest.approx(silent) and both[1] != silent
+
+
+def test_pages_by_markup_suffix_and_host(spark, tmp_path):
+    """pages_language against the plain fusion, on pages whose markup, suffix and host say something."""
+    docs = spark.createDataFrame([(f"{t} {t[k:]}", lang) for lang, t in TEXTS.items() for k in range(12)], "text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pages = [
+        ("http://a.example/1", '<html lang="fr-CA"><body>12 x</body></html>'),
+        ("http://a.example/2", f"<html><p>{TEXTS['fr']}</p><script>the the the the that was with</script></html>"),
+        ("http://b.de/1?x", "<p>x"),
+        ("https://b.de:80/2", f"<!-- the thing -->{TEXTS['de']}"),
+        ("http://c.at/1", "<html lang=en><p>x</p>"),
+        (None, f"<b>{TEXTS['en']}</b>"),
+        ("http://d.example/", None),
+    ]
+    spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id int, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.language, r.probability, r.kept) for r in L.pages_language(spark, str(tmp_path)).orderBy("page_id").collect()]
+    m = L.fit(docs, F.col("text"), F.col("lang"))
+    strip = lambda h: h and re.sub("<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", h))
+    own = m.score(pa.array([strip(h) for _, h in pages], pa.string()))
+    n = len(m.languages)
+    for i, (said, spoken) in enumerate([("fr", ""), ("", ""), ("", "de"), ("", "de"), ("en", "de"), ("", ""), ("", "")]):
+        for x, sure in ((said, L.DECLARED), (spoken, L.SUFFIX)):
+            if x:
+                own[i] += math.log((1 - sure) / (n - 2))
+                own[i, m.languages.index(x)] += math.log(sure / ((1 - sure) / (n - 2)))
+    own[6], own[6, -1] = -1e9, 0
+    hosts = ["a.example", "a.example", "b.de", "b.de:80", "c.at", "", "d.example"]
+    last = ["example", "example", "de", "de", "at", "", "example"]
+    share = np.exp(own - own.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    p = (share.sum(axis=0) + 1) / (len(pages) + n)
+    p[:-1] *= (1 - L.UNKNOWN_PRIOR) / p[:-1].sum()
+    p[-1] = L.UNKNOWN_PRIOR
+    for i in range(len(pages)):
+        parent = share[[j for j, x in enumerate(last) if x == last[i]]].sum(axis=0) + L.SUFFIX_WEIGHT * p
+        parent /= parent.sum()
+        host = share[[j for j, x in enumerate(hosts) if x == hosts[i]]].sum(axis=0) - share[i]
+        f = own[i] + np.log(np.maximum(host, 0) + L.HOST_WEIGHT * parent)
+        f = np.exp(f - f.max())
+        assert got[i][0] == m.languages[int(f.argmax())] and got[i][1] == pytest.approx(f.max() / f.sum(), abs=1e-3), i
+    assert [x[0] for x in got[:4]] == ["fr", "fr", "de", "de"] and got[6] == ("und", got[6][1], False)

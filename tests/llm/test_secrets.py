@@ -122,3 +122,14 @@ def test_rows(frame):
 def test_overlapping_secrets_become_one_mark():
     text = "token=0123456789abcdef0123 x"
     assert S.redacted(text, S.scan(text), "#") == "token=# x"
+
+
+def test_encrypted_and_doubly_encoded_keys():
+    """An encrypted PKCS#8 key is confirmed by its scheme, a key file encoded as a whole by decoding it again."""
+    scheme = tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, b""))
+    for data, want in ((tlv(0x30, scheme + tlv(4, b"\1" * 64)), 1), (tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x03")) + tlv(4, b"\1" * 64)), 0), (tlv(0x30, scheme + tlv(4, b"\1" * 8)), 0)):
+        raw = base64.b64encode(data).decode()
+        pem = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", raw)) + "\n-----END ENCRYPTED PRIVATE KEY-----\n"
+        for text in (f"x {pem} y", f"key {raw} end", f"tls.key: {base64.b64encode(pem.encode()).decode()}\n"):
+            assert len([s for s in S.scan(text) if s[1] in ("armour", "key")]) == want, (text, S.scan(text))
+    assert not [s for s in S.scan(base64.b64encode(b"-----BEGIN of a long text that is no key at all-----").decode()) if s[1] == "key"]
