@@ -4,11 +4,15 @@ Each page's containers are scored by the text of their paragraphs without links.
 container votes for its generalised path, tags with classes in which digits are
 blurred; votes are summed per host in Spark. In a second pass the text is taken from
 the containers at the winning path, or from the page's own best one where the page
-has none there.
+has none there. A page takes time and memory in proportion to its length, however
+broken its markup: tags are found by plain searches, open elements by their places,
+and a path is a running hash.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,8 +25,10 @@ from quillflow.llm.staging import small_batches, stage, table
 
 #: Hosts whose winning paths are broadcast at most (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME, PLAIN = re.compile(r"[a-zA-Z][^\s/>]*+"), re.compile("[^>\"']*+")
+ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+#: After so many tags whose end lies in quotes up to the end of the page, quotes don't count in it any more.
+BROKEN = 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -31,14 +37,23 @@ CONTAINER = frozenset("article body div main section td".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
 AWAY = frozenset("aside button dialog footer form head header iframe input menu nav noscript object option script select style svg template textarea".split())
-#: Words in a class, id or role that mark what isn't the article (fixed values).
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words in a class or id that mark what isn't the article.
 MARKS = frozenset(
     "ad adbox ads adslot advert advertisement advertising adverts alert alerts banner breadcrumb breadcrumbs comment commentform commentlist comments complementary consent contentinfo cookie cookies disqus "
     "footer form gdpr header login mainmenu mainnav masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related replies reply respond "
     "search share sharing sidebar sidenav signup sitenav social sponsor sponsored submenu subnav subscribe subscription toolbar topbar topnav widget".split()
 )
-#: Words in a class or id that suggest the whole article (fixed values).
+#: Words that say nothing beside one of MARKS; next to any other word a mark is only a suspicion.
+GENERIC = frozenset(
+    "area articles bar block body bottom box button buttons center col column container content contents desktop entry fixed global group head holder icon icons inner item items left link links list main message "
+    "mobile module more outer page panel policy post posts primary region right row secondary section site slot small sticky stories story text thread title top unit wrap wrapper zone".split()
+)
+#: Words in a class or id that suggest the whole article.
 WHOLE = frozenset("article content entry post story".split())
+#: Whether an element counts, is left out, counts only by its headings, or counts unless it is mostly links.
+KEPT, AWAY_ALL, HEADED, SUSPECT = range(4)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -47,15 +62,42 @@ def host_of(url: str | None) -> str:
     return m[1].translate(_LOWER) if m else ""
 
 
-def marked(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element and all in it is left out."""
-    if tag in AWAY:
-        return True
+def marked(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """How an element and all in it counts.
+
+    Away are tags and roles that say so, and what has a class or id of marks and generic
+    words only. An article's own header counts by its headings. A mark beside other
+    words, as in ``share-price``, is a suspicion.
+    """
+    if tag == "header" and in_article:
+        return HEADED
+    if tag in AWAY or attrs.get("role", "").lower() in ROLES:
+        return AWAY_ALL
     if tag in ("html", "body", "main"):
-        return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()
-    words = {w for n in names if not n.startswith(("has-", "with-", "no-")) for w in re.split(r"[^a-z0-9]+", n)}
-    return bool(words & ({"comment", "comments", "reply"} if tag == "article" else MARKS))
+        return KEPT
+    found = KEPT
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = set(re.split(r"[^a-z0-9]+", name))
+        marks = words & ({"comment", "comments", "reply"} if tag == "article" else MARKS)
+        if not marks or name.startswith(("has-", "with-", "no-")):
+            continue
+        if marks == {"header"} and words & WHOLE:
+            found = found or HEADED
+        elif all(w in marks or w in GENERIC or not w.isalpha() for w in words):
+            return AWAY_ALL
+        else:
+            found = SUSPECT
+    return found
+
+
+@functools.lru_cache(4096)
+def described(tag: str, rest: str, in_article: bool) -> tuple[int, str, float]:
+    """How a tag with its attributes counts, its step of a path, and its weight as a container."""
+    attrs = {k.lower(): x or y or z for k, x, y, z in ATTR.findall(rest)}
+    classes = ".".join(sorted(re.sub(r"\d+", "#", x) for x in attrs.get("class", "").split()))
+    names = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    weight = 1.3 if tag == "article" else 1.1 if tag == "main" or tag != "body" and names & WHOLE else 0.0
+    return marked(tag, attrs, in_article), f"{tag}{'.' + classes if classes else ''}", weight
 
 
 class Page:
@@ -69,16 +111,22 @@ class Page:
         self._parse(source or "")
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, bool, int, str]] = []  # tag, left out, container, path
+        stack: list[tuple[str, int, int, bytes, int]] = []  # tag, how it counts, container, path, first block if suspect
+        places: dict[str, list[int]] = {}  # where in the stack a tag is open
+        scopes: list[int] = []
         parts: list[str] = []
-        linked, links, at = 0, 0, 0
+        sums = [(0, 0)]  # characters, and those in links, before each block
+        linked, links, at, broken = 0, 0, 0, 0
+        last_end, last_quote = source.rfind(">"), {q: source.rfind(q) for q in "\"'"}
 
         def flush() -> None:
             nonlocal linked
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((text, min(linked, len(text)), stack[-1][2] if stack else -1))
+                    n = min(linked, len(text))
+                    self.blocks.append((text, n, stack[-1][2] if stack else -1))
+                    sums.append((sums[-1][0] + len(text), sums[-1][1] + n))
                 parts.clear()
             linked = 0
 
@@ -86,35 +134,70 @@ class Page:
             """Close open elements down to n of them."""
             nonlocal links
             while len(stack) > n:
-                tag = stack[-1][0]
+                tag, _, _, _, first = stack[-1]
                 if tag in BLOCK:
                     flush()
+                if first >= 0:  # a suspect is left out if it is mostly links
+                    flush()
+                    if first < len(self.blocks) and 3 * (sums[-1][1] - sums[first][1]) > sums[-1][0] - sums[first][0]:
+                        del self.blocks[first:], sums[first + 1 :]
                 links -= tag == "a"
                 stack.pop()
+                places[tag].pop()
+                if scopes and scopes[-1] == len(stack):
+                    scopes.pop()
 
         def said(text: str) -> None:
             nonlocal linked
-            if text and not (stack and stack[-1][1]):
+            if text and not (stack and stack[-1][1] in (AWAY_ALL, HEADED)):
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
                 linked += len(text) if links else 0
 
-        def within(tags: tuple[str, ...], stop: frozenset[str]) -> int:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in tags:
+        def within(tags: tuple[str, ...], floor: int) -> int:
+            """The place of the innermost open element of these tags above a place, else -1."""
+            found = max((places[t][-1] for t in tags if places.get(t)), default=-1)
+            return found if found >= floor else -1
+
+        def tag_end(start: int) -> int:
+            """Where the tag ends whose name ends at a place, or -1; a ``>`` in quotes doesn't end it."""
+            nonlocal broken
+            i = start
+            while broken < BROKEN and i <= last_end:
+                i = PLAIN.match(source, i).end()
+                if i >= len(source):
+                    break
+                if source[i] == ">":
                     return i
-                if stack[i][0] in stop:
-                    return -1
-            return -1
-
-        while (m := TAG.search(source, at)) is not None:
-            said(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+                i = source.find(source[i], i + 1) + 1 if i < last_quote[source[i]] else i + 1
+            if start > last_end:
+                return -1
+            broken += 1
+            return source.find(">", start)
+
+        said_to = 0  # what lies before has been said
+        while (lo := source.find("<", at)) >= 0:
+            at = lo + 1
+            if source.startswith("<!--", lo):
+                said(source[said_to:lo])
+                end = source.find("-->", lo + 4)
+                at = said_to = end + 3 if end >= 0 else len(source)
+                continue
+            if source.startswith(("<!", "<?"), lo):
+                if lo < last_end:
+                    said(source[said_to:lo])
+                    at = said_to = source.find(">", lo) + 1
                 continue
-            tag = m[2].translate(_LOWER)
-            if m[1]:
-                i = within((tag,), SCOPE - {tag} if tag not in SCOPE else frozenset())
+            closing = source.startswith("</", lo)
+            m = NAME.match(source, lo + 1 + closing)
+            end = tag_end(m.end()) if m else -1
+            if end < 0:
+                continue
+            said(source[said_to:lo])
+            at = said_to = end + 1
+            tag, rest = m[0].translate(_LOWER), source[m.end() : end]
+            if closing:
+                i = within((tag,), 0 if tag in SCOPE else scopes[-1] + 1 if scopes else 0)
                 if i >= 0:
                     close(i)
                 continue
@@ -126,30 +209,40 @@ class Page:
                     flush()
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                stop = re.compile(rf"</{tag}\b", re.I).search(source, at)
+                end = source.find(">", stop.end()) if stop else -1
+                at = said_to = end + 1 if end >= 0 else len(source)
                 continue
             if tag in BLOCK:
-                if (i := within(("p",), SCOPE)) >= 0:
+                if (i := within(("p",), scopes[-1] + 1 if scopes else 0)) >= 0:
                     close(i)
                 flush()
             if tag in ENDS:
-                stop = frozenset(("table",)) if tag in ("tr", "td", "th") else SCOPE - set(ENDS[tag])
-                if (i := within(ENDS[tag], stop)) >= 0:
+                if tag in ("tr", "td", "th"):
+                    floor = places["table"][-1] + 1 if places.get("table") else 0
+                else:
+                    floor = scopes[-1] + 1 if scopes else 0
+                if (i := within(ENDS[tag], floor)) >= 0:
                     close(i)
-            attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])}
-            _, out, node, path = stack[-1] if stack else ("", False, -1, "")
-            out = out or marked(tag, attrs)
-            classes = ".".join(sorted(re.sub(r"\d+", "#", x) for x in attrs.get("class", "").split()))
-            path = f"{path}/{tag}{'.' + classes if classes else ''}"
-            if tag in CONTAINER and not out:
-                names = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-                self.nodes.append((path, node, 1.3 if tag == "article" else 1.1 if tag == "main" or tag != "body" and names & WHOLE else 0.0))
+            _, above, node, path, _ = stack[-1] if stack else ("", KEPT, -1, b"", -1)
+            own, step, weight = (described if len(rest) < 200 else described.__wrapped__)(tag, rest, bool(places.get("article")))
+            out = above if above == AWAY_ALL or own in (KEPT, SUSPECT) else own
+            if above == HEADED:
+                out = KEPT if tag in HEADINGS and own in (KEPT, SUSPECT) else HEADED if own != AWAY_ALL else AWAY_ALL
+            path = hashlib.blake2b(path + step.encode("utf-8", "replace"), digest_size=12).digest()
+            if tag in CONTAINER and out not in (AWAY_ALL, HEADED):
+                self.nodes.append((f"{path.hex()}/{step[-200:]}", node, weight))
                 node = len(self.nodes) - 1
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-                stack.append((tag, out, node, path))
+            if not rest.rstrip().endswith("/") or tag not in ("svg", "path"):
+                suspect = own == SUSPECT and out == KEPT
+                if suspect:
+                    flush()
+                places.setdefault(tag, []).append(len(stack))
+                if tag in SCOPE:
+                    scopes.append(len(stack))
+                stack.append((tag, out, node, path, len(self.blocks) if suspect else -1))
                 links += tag == "a"
-        said(source[at:])
+        said(source[said_to:])
         close(0)
         flush()
 
@@ -158,14 +251,18 @@ class Page:
 
         An article, or what is named like one, counts all text within in full, so a part of it doesn't win over the whole.
         """
-        found: dict[int, float] = {}
+        faded, whole = [0.0] * len(self.nodes), [0.0] * len(self.nodes)
         for text, linked, node in self.blocks:
-            worth, share = max(0, len(text) - 2 * linked), 1.0
-            while node >= 0 and worth:
-                _, above, whole = self.nodes[node]
-                found[node] = found.get(node, 0) + worth * (whole or share)
-                node, share = above, share / 2
-        return found
+            if node >= 0:
+                worth = max(0, len(text) - 2 * linked)
+                faded[node] += worth
+                whole[node] += worth
+        for i in range(len(self.nodes) - 1, -1, -1):  # those around have smaller indexes
+            above = self.nodes[i][1]
+            if above >= 0:
+                faded[above] += faded[i] / 2
+                whole[above] += whole[i]
+        return {i: whole[i] * weight if weight else faded[i] for i, (_, _, weight) in enumerate(self.nodes) if whole[i]}
 
     def votes(self) -> dict[str, float]:
         """Each path's part of the best container's score."""
@@ -178,18 +275,20 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The blocks within the containers at the path, else within the best container, else all."""
-        chosen = {i for i, (p, _, _) in enumerate(self.nodes) if p == path}
-        if not any(chosen & set(self._around(n)) for _, _, n in self.blocks):
+        inside = self._inside({i for i, (p, _, _) in enumerate(self.nodes) if p == path})
+        if not any(n >= 0 and inside[n] for _, _, n in self.blocks):
             scores = self.scores()
-            chosen = {max(scores, key=lambda i: (scores[i], -i))} if scores else set()
-        return "\n".join(t for t, _, n in self.blocks if not chosen or chosen & set(self._around(n)))
-
-    def _around(self, node: int) -> list[int]:
-        out = []
-        while node >= 0:
-            out.append(node)
-            node = self.nodes[node][1]
-        return out
+            if not scores:
+                return "\n".join(t for t, _, _ in self.blocks)
+            inside = self._inside({max(scores, key=lambda i: (scores[i], -i))})
+        return "\n".join(t for t, _, n in self.blocks if n >= 0 and inside[n])
+
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        """Of each container, whether it is one of the chosen or lies in one."""
+        found: list[bool] = []
+        for i, (_, above, _) in enumerate(self.nodes):
+            found.append(i in chosen or above >= 0 and found[above])
+        return found
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +320,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Blocks are joined by one line feed, white space within a block is one space. A page
     that is null, empty or has no text outside what is left out has an empty text. Pages
-    without a host share the empty host. Ids may repeat or be null; other columns aren't
-    read; an empty table gives an empty result.
+    without a host share the empty host. Of paths or containers with equal votes or
+    scores the first counts. Pages are read whole, however long or broken. Ids may repeat
+    or be null; other columns, whatever their names, aren't read; an empty table gives an
+    empty result.
     """
     small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -1,4 +1,6 @@
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -66,3 +68,53 @@ def test_long_page(spark):
     html = PAGE.format(n=1, body="<p>para graph</p>" * 30_000)
     df = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
     assert H.extract(df).first().n_chars == 30_000 * 11 - 1
+
+
+LONG = "<p>" + "words of the article " * 20 + "</p>"
+
+
+def test_words_like_marks_stay_in_the_article():
+    body = "<header class=entry-header><h1>Title</h1><p>by someone</p><nav>n</nav></header>" + LONG
+    body += "<div class='related-work'><p>Related work is described here.</p></div><p class='share-price'>The share rose.</p>"
+    page = "<html><body><header><h2>Site</h2></header><article>" + body + "<div class=share-buttons><a>x</a></div><div class='related-links-x'><a href=1>one more link</a> <a>two</a></div></article><div class='post-comments'>c</div></body></html>"
+    got = text(page).split("\n")
+    assert got[0] == "Title" and got[2:] == ["Related work is described here.", "The share rose."] and len(got) == 4
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "share-buttons", "ad-300x250", "sidebar_left", "related-posts", "newsletter", "search-form", "navbar-top main-nav"])
+def test_marked_elements_go(name):
+    assert text(f"<body><div class=content>{LONG}<div class='{name}'><p>not this</p></div><div id='{name}'>nor this</div></div></body>") == text(f"<body><div class=content>{LONG}</div></body>")
+
+
+HOSTILE = {
+    "unclosed tags": lambda n: "<p>x" + "<a " * n,
+    "unclosed quotes": lambda n: "<a \">\"" * n,
+    "mixed quotes": lambda n: ("<a \"'>'") * n,
+    "nested": lambda n: "<div class=a>" * n + "y",
+    "inline": lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+    "attribute": lambda n: "<a " + "a" * n + ">x",
+    "scripts": lambda n: "<script>" + "</script " * n,
+    "suspects": lambda n: "<div class=share-price>t" * n,
+    "angles": lambda n: "<" * n,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_time_and_memory_grow_with_the_page(name):
+    took, used = [], []
+    for n in (10_000, 20_000, 40_000):
+        source = HOSTILE[name](n)
+        tracemalloc.start()
+        page = H.Page(source)
+        page.text(max(page.votes(), default=None))
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        best = []
+        for _ in range(2):
+            t = time.perf_counter()
+            page = H.Page(source)
+            page.text(max(page.votes(), default=None))
+            best.append(time.perf_counter() - t)
+        took.append(min(best))
+    assert all(b < 3.5 * a + 0.05 for a, b in zip(took, took[1:], strict=False)), took
+    assert all(b < 3 * a + 200_000 for a, b in zip(used, used[1:], strict=False)), used
