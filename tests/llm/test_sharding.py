@@ -67,3 +67,66 @@ def test_query_keeps_every_row(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = docs.select("doc_id", F.length("text").cast("long"), F.sha2("text", 256))
     assert content(S.op7_sharding(spark, "/root/testdata/sf0.001").select("doc_id", F.col("n_chars").alias("length(text)"), F.col("text_sha256").alias("sha2(text, 256)")).toDF("a", "b", "c")) == content(want.toDF("a", "b", "c"))
+
+
+def test_an_append_is_tried_again(spark, tmp_path, monkeypatch):
+    """Another writer commits between an append's look at the versions and its commit."""
+    store, other, n = S.ShardStore(spark, str(tmp_path)), S.ShardStore(spark, str(tmp_path)), [0]
+    store.append(spark.range(3).withColumn("who", S.F.lit("first")))
+    commit = store.commit
+
+    def late(entries, version):
+        n[0] += 1
+        if n[0] == 1:
+            other.append(spark.range(5).withColumn("who", S.F.lit("other")))
+        return commit(entries, version)
+
+    monkeypatch.setattr(store, "commit", late)
+    assert store.append(spark.range(7).withColumn("who", S.F.lit("late"))) == 3
+    assert {r.who: r["count"] for r in store.read().groupBy("who").count().collect()} == {"first": 3, "other": 5, "late": 7}
+    # appended shards don't disturb a merge, another merge of the same shards does
+    n[0] = 0
+    assert store.compact(1 << 20) == 5 and store.read().count() == 20
+    before = store.manifest().count()
+    store.append(spark.range(1).withColumn("who", S.F.lit("x")))
+
+    def merged(entries, version):
+        monkeypatch.setattr(store, "commit", commit)
+        other.compact(1 << 20)
+        return commit(entries, version)
+
+    monkeypatch.setattr(store, "commit", merged)
+    with pytest.raises(S.Conflict):
+        store.compact(1 << 20)
+    assert store.read().count() == 21 and store.manifest().count() <= before + 1
+    folders = {x.name for x in (tmp_path / "data").iterdir()}
+    store.vacuum()
+    assert store.read().count() == 21 and {x.name for x in (tmp_path / "data").iterdir()} < folders and not list((tmp_path / "pending").iterdir())
+
+
+def test_vacuum_spares_a_writer_that_has_not_committed(spark, tmp_path, monkeypatch):
+    store, other = S.ShardStore(spark, str(tmp_path)), S.ShardStore(spark, str(tmp_path))
+    store.append(spark.range(3))
+    commit = store.commit
+
+    def slow(entries, version):
+        other.vacuum()
+        return commit(entries, version)
+
+    monkeypatch.setattr(store, "commit", slow)
+    store.append(spark.range(4))
+    assert store.read().count() == 7
+    # what a dead writer left goes once it is old enough
+    folder = store._begin()
+    spark.range(2).write.parquet(folder)
+    store.vacuum()
+    assert (tmp_path / "data" / folder.rsplit("/", 1)[1]).exists()
+    store.vacuum(abandoned_seconds=0)
+    assert not (tmp_path / "data" / folder.rsplit("/", 1)[1]).exists() and store.read().count() == 7
+
+
+def test_folders_are_read_as_a_whole(spark, tmp_path):
+    store = S.ShardStore(spark, str(tmp_path))
+    store.append(spark.range(100, numPartitions=4), rows=5)
+    store.append(spark.range(10, numPartitions=1))
+    assert len(store._paths(store.manifest())) == 2 and store.read().count() == 110
