@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillflow.llm.graph import spread_join
 from quillflow.llm.staging import small_batches, stage, table
 
 #: Hosts whose winning paths are broadcast at most (some 100 bytes each); more are joined by a shuffle.
@@ -325,12 +326,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     or be null; other columns, whatever their names, aren't read; an empty table gives an
     empty result.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     paths = stage(host_paths(rows), "paths")
-    paths = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths
     address = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    both = rows.withColumn("host", address).join(paths, "host", "left").select("page_id", "url", "html", "path")
+    rows = rows.withColumn("host", address)
+    if paths.count() <= BROADCAST_HOSTS:
+        both = rows.join(F.broadcast(paths), "host", "left")
+    else:  # a host may have any share of the pages
+        both = spread_join(rows, stage(rows.select("host").distinct().join(paths, "host", "left"), "hosts"), ["host"], "url")
+    both = both.select("page_id", "url", "html", "path")
     return both.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 

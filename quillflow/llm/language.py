@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from quillflow.llm import textops as T
+from quillflow.llm.graph import spread_join
 from quillflow.llm.staging import small_batches, stage, table
 
 BUCKETS, TEMPER, UNKNOWN = 1 << 16, 3.0, "und"
@@ -186,8 +187,11 @@ def identify(
     parents = hosts.groupBy(tag + "_last").agg(*(F.sum(f"s{i}").alias(f"p{i}") for i in range(n)))
     parents = parents.select(tag + "_last", *(F.expr(f"(p{i} + {SUFFIX_WEIGHT * x}) / ({total('p')} + {SUFFIX_WEIGHT})").alias(f"{tag}_p{i}") for i, x in enumerate(p)))
     priors = stage(hosts.join(parents, tag + "_last").drop(tag + "_last").select(tag + "_host", *(F.col(f"s{i}").alias(f"{tag}_s{i}") for i in range(n)), *(f"{tag}_p{i}" for i in range(n))), "priors")
-    priors = F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors
-    both = shares(scored(rows.join(priors, tag + "_host", "left")))
+    if priors.count() <= BROADCAST_HOSTS:
+        found = rows.join(F.broadcast(priors), tag + "_host", "left")
+    else:  # a host may have any share of the rows
+        found = spread_join(rows, priors, [tag + "_host"], tag + "_text")
+    both = shares(scored(found))
     # a row's own share is taken out of its host's sums
     both = both.withColumns({f"{tag}_f{i}": F.expr(f"{c} + ln(greatest({tag}_s{i} - {tag}_e{i} / {tag}_z, 0) + {HOST_WEIGHT} * {tag}_p{i})") for i, c in enumerate(names)})
     fused = [f"{tag}_f{i}" for i in range(n)]

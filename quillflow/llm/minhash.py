@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct k-word shingles, or the whole sequence if it has fewer words. Two rows are
     linked if 100 * intersection >= percent * union. A null or wordless text has the
     empty set and is linked with nothing. Rows that repeat an id are one document with
-    the same component. A row whose id is null can't be named: it is linked with
+    the same component; where their texts differ, one of the texts speaks for all. A row whose id is null can't be named: it is linked with
     nothing, has a null component and is kept. Texts count whole, however long; one
     chunk of rows and its sets are in memory at once. Of pairs with the same similarity
     all are links. Columns besides the two named are not read, whatever their names. An
@@ -207,7 +207,9 @@ def block_links(percent: int):
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of the documents that near_duplicates() keeps.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id stay.
+    Rows that repeat an id are one document, of which one row stays. Rows without an id
+    stay, as does one row of every id with a null, empty or wordless text. Texts count
+    whole. Other columns, whatever their names, pass through; an empty table stays empty.
     """
     found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col), "found")
     key, other = F.col(id_col).cast("long"), "_" + uuid.uuid4().hex

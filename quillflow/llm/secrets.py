@@ -268,7 +268,11 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret replaced by the mark; a column n_chars, if any, follows the new length. Null texts stay null."""
+    """``docs`` with every secret replaced by the mark; a column n_chars, if any, follows the new length.
+
+    Null and empty texts, rows that repeat, other columns of any names and an empty table
+    stay as they are. Texts are scanned whole; overlapping secrets become one mark.
+    """
     small_batches(docs.sparkSession)
     place, schema = docs.columns.index(text_col), docs.schema
 

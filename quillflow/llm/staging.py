@@ -2,7 +2,8 @@
 
 A staged table cuts the lineage, so a lost executor only costs the tasks it ran.
 The folder is the session's ``spark.checkpoint.dir``; a local temporary folder is
-used only where that is unset and the master is local, as in tests.
+used only where that is unset and the master is local, as in tests. On a cluster an
+unset folder is an error.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         if key not in _LOCAL:
             _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="quillflow-")
         return _LOCAL[key]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -56,6 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound the rows and bytes of the Arrow batches that go to Python workers; a longer text is a batch of its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bound the rows and bytes of the Arrow batches that go to Python workers; a longer text is a batch of its own.
+
+    Spark reads these options of the session when a plan runs, so all operators ask for
+    the same bounds, and a lower one that is set already stays.
+    """
+    to_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    at_most, bound = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(at_most)) <= rows:
+        spark.conf.set(at_most, str(rows))
+    if not 0 < to_bytes(spark.conf.get(bound)) <= to_bytes(size):
+        spark.conf.set(bound, size)

@@ -85,10 +85,11 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     """Per row: page_id, host, path, rule (or null), verdict, and the numbers of distinct strict and soft terms.
 
     A null or empty url, or one without ``://``, has an empty host and path, fits no rule
-    and is judged by its terms. Ids may repeat or be null; other columns aren't read; an
-    empty table gives an empty result.
+    and is judged by its terms. Of rules of the same length the first in ``rules`` wins.
+    Urls count whole, however long. Ids may repeat or be null; other columns, whatever
+    their names, aren't read; an empty table gives an empty result.
     """
-    small_batches(pages.sparkSession, 10_000)
+    small_batches(pages.sparkSession)
     weights = {t: 1 for t in soft} | {t: limit for t in strict}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

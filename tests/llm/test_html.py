@@ -118,3 +118,14 @@ def test_time_and_memory_grow_with_the_page(name):
         took.append(min(best))
     assert all(b < 3.5 * a + 0.05 for a, b in zip(took, took[1:], strict=False)), took
     assert all(b < 3 * a + 200_000 for a, b in zip(used, used[1:], strict=False)), used
+
+
+def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
+    from quillflow.llm import graph
+
+    rows = [(i, f"http://{'h' if i % 3 else 'k' + str(i)}/{i}" if i % 50 else None, PAGE.format(n=i, body=LONG) if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    want = sorted(H.extract(df).collect(), key=str)
+    monkeypatch.setattr(H, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(graph, "SPLIT_ROWS", 20)
+    assert sorted(H.extract(df).collect(), key=str) == want and len(want) == 200

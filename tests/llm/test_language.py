@@ -144,3 +144,15 @@ def test_pages_by_markup_suffix_and_host(spark, tmp_path):
         f = np.exp(f - f.max())
         assert got[i][0] == m.languages[int(f.argmax())] and got[i][1] == pytest.approx(f.max() / f.sum(), abs=1e-3), i
     assert [x[0] for x in got[:4]] == ["fr", "fr", "de", "de"] and got[6] == ("und", got[6][1], False)
+
+
+def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
+    from quillflow.llm import graph
+
+    rows = [(i, TEXTS["de" if i % 2 else "fr"] if i % 5 else "x", "h" if i % 3 else f"h{i}") for i in range(300)] + [(300, None, None)]
+    df = spark.createDataFrame(rows, "i int, text string, source string")
+    ask = lambda: {r.i: (r._language, round(r._probability, 9)) for r in L.identify(df, model(), text=F.col("text"), declared=F.lit(""), host=F.col("source")).collect()}
+    want = ask()
+    monkeypatch.setattr(L, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(graph, "SPLIT_ROWS", 20)
+    assert ask() == want and len(want) == 301

@@ -22,3 +22,15 @@ def test_staged_tables_are_read_again_and_deleted(spark):
     forget(df)
     delete(spark, folder)  # it is gone already
     assert stage(spark.range(0), "t").count() == 0
+
+
+def test_lower_bounds_of_the_session_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    small_batches(spark)
+    assert spark.conf.get(name) == "7"
+    spark.conf.set(name, "0")  # no bound
+    small_batches(spark)
+    assert spark.conf.get(name) == "1000"
+    spark.conf.set(name, before)
