@@ -2,7 +2,8 @@
 
 Every stage works on all rows its predecessor kept; its result is written as Parquet
 in the shared folder and read again as the next one's input, so a lost executor never
-repeats an earlier stage.
+repeats an earlier stage. Texts count whole; rows may have null ids, and other columns
+of any names pass through up to the last stage; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -20,28 +21,28 @@ from quillflow.llm.staging import stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; texts without letters go."""
+    """Documents whose language is known; null and empty texts, and those without letters, go."""
     names = tuple(f"_{x}_{uuid.uuid4().hex}" for x in ("language", "probability", "kept"))
     return document_languages(docs, names=names).where(names[2]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one with the smallest id; repeated rows of one id are one, rows without an id stay."""
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a test item of ``benchmark``."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a test item of ``benchmark``, of whatever length; an empty ``benchmark`` keeps all."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark and ``n_chars`` corrected."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in token windows."""
+    """The pieces of all documents in token windows; a null id stays null."""
     return pack_documents(docs)
 
 
