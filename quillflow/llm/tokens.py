@@ -21,7 +21,7 @@ from quillflow.llm import textops as T
 TOKENIZER = "byte_bpe_50k.json"
 SPECIAL = b"<|endoftext|>"
 #: Pieces that the memo of a worker holds at most; it starts anew beyond that, which changes no result.
-MEMO = 300_000
+MEMO = 1_000_000
 _OPEN: dict[str, Encoder] = {}
 
 
@@ -69,23 +69,23 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        #: Hashes of pieces in ascending order, and where the ids of each begin and how many there are.
+        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 19, np.int32), 0
-        self.start, self.count = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         if self.quick is not None:
             got = list(map(self.quick.encode_ordinary, pieces))
         else:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
+        count = np.fromiter(map(len, got), np.int32, len(got))
         ids = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(count.sum()))
-        at, used = len(self.place), self.used + len(ids)
-        self.flat, self.start, self.count = (grown(x, n) for x, n in ((self.flat, used), (self.start, at + len(got)), (self.count, at + len(got))))
-        self.flat[self.used : used] = ids
-        self.start[at : at + len(got)], self.count[at : at + len(got)] = self.used + np.cumsum(count) - count, count
-        self.used = used
-        self.place.update(zip(keys, range(at, at + len(got)), strict=True))
+        self.flat = grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(count) - count)
+        self.keys, self.count = np.insert(self.keys, at, keys), np.insert(self.count, at, count)
+        self.used += len(ids)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets per row) for runs of rows; null is empty."""
@@ -102,14 +102,16 @@ class Encoder:
             cut[off[:-1][off[:-1] < len(data)]] = True
             starts = np.flatnonzero(cut)
             keys, first, which = np.unique(T.hash_runs(data, starts), return_index=True, return_inverse=True)
-            if len(self.place) + len(keys) > MEMO:
+            if len(self.keys) + len(keys) > MEMO:
                 self.clear()
-            known = keys.tolist()
-            new = [i for i, key in enumerate(known) if key not in self.place]
-            if new:
+            at_key = np.searchsorted(self.keys, keys)
+            new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at_key] != keys) if len(self.keys) else np.arange(len(keys))
+            if len(new):
                 raw, ends = data.tobytes(), np.append(starts[1:], len(data))
-                self._add([known[i] for i in new], [raw[starts[f] : ends[f]].decode() for f in first[new].tolist()])
-            index = np.fromiter((self.place[key] for key in known), np.int64, len(known))[which]
-            count = self.count[index]
+                places = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+                self._add(keys[new], [raw[a:b].decode() for a, b in places])
+                at_key = np.searchsorted(self.keys, keys)
+            index = at_key[which]
+            count = self.count[index].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(count)])
             yield at, T.gather(self.flat, self.start[index], count), total[np.searchsorted(starts, off)]
