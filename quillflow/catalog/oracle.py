@@ -77,3 +77,76 @@ ORACLE_SQL = {
     "pipeline_run": _batched(f"SELECT lower(trim(line)) AS line, row_number() OVER (ORDER BY doc_id, line_index) AS rn FROM ({_LINES})", 10),
     "streaming_replay": "SELECT event_id, event_type FROM events",
 }
+
+_SHORT = f"CASE WHEN length(text) > {LONG_CHARS} THEN -1 ELSE length(text) END"
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    """A table of the given rows."""
+    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
+
+
+#: Of the runs that the shipped code makes.
+ORACLE_SQL |= {
+    "jsonl_source_batches": """
+        SELECT min(rn) - 1 AS seq, count(*) AS n_items, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rn) AS items
+        FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS tot FROM documents)
+        GROUP BY CASE WHEN rn <= tot - tot % 7 THEN (rn - 1) // 7 ELSE tot + rn END""",
+    "jsonl_source_resumed": "SELECT rn - 1 AS seq, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE rn > 100",
+    "jsonl_dead_letters": "SELECT CASE WHEN doc_id % 10 = 0 THEN 'MalformedLine' ELSE 'ok' END AS outcome, doc_id FROM documents",
+    "column_dead_letters": f"SELECT doc_id, {_SHORT} AS item FROM documents",
+    "pandas_dead_letters": f"SELECT doc_id, {_SHORT} AS item FROM documents",
+    "skip_item_run": f"SELECT doc_id, length(text) AS item FROM documents WHERE length(text) <= {LONG_CHARS}",
+    "result_shape_checked": "SELECT CAST(n_nationkey AS BIGINT) AS seq, CASE WHEN length(n_name) % 2 = 1 THEN length(n_name) END AS item, length(n_name) % 2 = 0 AS failed FROM nation",
+    "child_for_each_item": "SELECT CAST(n_nationkey AS BIGINT) AS seq, lower(n_name) AS item FROM nation",
+    "memo_lookups": """
+        WITH kept AS (SELECT DISTINCT text FROM documents WHERE source = 'src0' AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0))
+        SELECT doc_id, kept.text IS NOT NULL AS hit, length(trim(kept.text)) AS n_chars FROM documents LEFT JOIN kept USING (text)""",
+    "memo_cleared": "SELECT count(*) AS known, CAST(0 AS BIGINT) AS hits, count(*) AS n FROM nation",
+    "runs_listed": _values("pipeline_id, state", ("done", "done"), ("paused", "paused"), ("failed", "failed")),
+    "run_paused_and_resumed": "SELECT CAST(n_nationkey AS BIGINT) AS seq, lower(n_name) AS item FROM nation",
+    "run_of_stored_steps": "SELECT s AS step, 'done' AS state, CASE WHEN s = 'batch' THEN (n + 3) // 4 ELSE n END AS n FROM (SELECT count(*) AS n FROM nation), (VALUES ('source'), ('tool'), ('batch')) t(s)",
+    "drained_run": "SELECT count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents",
+    "no_source_run": _values("rows, item", (1, "made")),
+    "forks_in_turn": """
+        SELECT seq, CAST(total AS BIGINT) AS total FROM (
+          SELECT seq, sum(n) OVER w AS total, count(*) OVER w AS rows FROM (SELECT conv_id * 1000 + turn AS seq, length(lower(trim(text))) AS n FROM conversations)
+          WINDOW w AS (ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE rows = 3""",
+    "own_source_and_target": "SELECT r_regionkey AS seq, upper(r_name) AS name, TRUE AS known FROM region",
+    "uri_on_both_sides": _values(
+        "i, raw, scheme, host, path, same",
+        (0, "jsonl://./file.jsonl?batchSize=5#part", "jsonl", "", "./file.jsonl", True),
+        (1, "http://localhost:7000/in?path=/chapter", "http", "localhost:7000", "/in", True),
+        (2, "parquet:/a/b", "parquet", "", "/a/b", True),
+        (3, "jsonl:///a/b", "jsonl", "", "/a/b", True),
+        (4, "x://h?q", "x", "h", "", True),
+        (5, "s3a://h/p:q/r#f?g", "s3a", "h", "/p:q/r", True),
+        (6, "not-a-uri", "", "", "", True),
+        (7, "1x://h", "", "", "", True),
+        (8, "x+y-1.z://../up", "x+y-1.z", "", "../up", True),
+        (9, "a b://c", "", "", "", True),
+        (10, "x://host", "x", "host", "", True),
+        (11, "mailto:me", "mailto", "", "me", True),
+        (12, "", "", "", "", True),
+    ),
+    "folder_round_trip": "SELECT n_regionkey, n_name FROM nation",
+    "formats_round_trip": "SELECT n_nationkey, n_name FROM nation",
+    "standard_streams": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS seq, n_name AS name FROM nation",
+    "posted_and_landed": "SELECT CAST(n_nationkey AS BIGINT) AS seq, n_name AS item FROM nation",
+    "retries_and_waits": """
+        SELECT strategy, f AS failures, CASE WHEN f <= 3 THEN 'ok' ELSE 'failed' END AS outcome, least(f, 3) + 1 AS attempts,
+               CAST(CASE strategy WHEN 'fixed' THEN 1000 * least(f, 3) WHEN 'linear' THEN 500 * least(f, 3) * (least(f, 3) + 1) ELSE 1000 * (power(2, least(f, 3)) - 1) END AS BIGINT) AS waited_ms
+        FROM (VALUES ('fixed'), ('linear'), ('exp')) s(strategy), range(5) r(f)""",
+    "policy_fields": _values("i, most, backoff_ms, strategy, on_error", (0, 3, 50, "exp", "dead-letter"), (1, 5, 50, "exp", "dead-letter"), (2, 3, 50, "linear", "skip-item")),
+    "checkpoint_marks": _values(
+        "step, depth, state, error, found, done_before, done_after",
+        ("root", 0, "pending", None, True, False, True),
+        ("source-1", 1, "done", None, True, False, True),
+        ("tool-1", 1, "pending", None, True, False, True),
+        ("fork-1", 2, "failed", "no", True, False, True),
+        ("fork-2", 2, "pending", None, True, False, True),
+    ),
+    "store_files": _values("name, there, text, after", ("a", True, "two\nthree\n", False), ("b", True, "four\n", True), ("c", False, None, False)),
+    "command_line": "SELECT line, count(*) AS n, TRUE AS told FROM (SELECT lower(n_name) AS line FROM nation UNION ALL SELECT 'x' FROM nation) GROUP BY 1",
+}

@@ -30,6 +30,11 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise FileExistsError(new)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.mkdirs(p)
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if it isn't there."""
     fs, p = _at(spark, path)
@@ -76,5 +81,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         app = spark.sparkContext.applicationId
         root = _LOCAL.setdefault(app, "") or _LOCAL.update({app: "file://" + tempfile.mkdtemp(prefix="quillflow-")}) or _LOCAL[app]
-    root = root or spark.conf.get("spark.sql.warehouse.dir")
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

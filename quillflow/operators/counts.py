@@ -8,26 +8,38 @@ from pyspark.sql import types as T
 
 #: Rows of a block of a sliding window; each block also reads the rows before it that its first windows need.
 BLOCK_ROWS = 10_000
+#: Rows for each range in the sample of strings that cuts ranges.
+SAMPLE_ROWS = 20
 _SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "number", parts: int | None = None) -> DataFrame:
     """Adds the position 1, 2, ... of each row in the order of the columns (which should have no ties).
 
-    The first column's approximate quantiles cut the rows into ranges; each range is
-    numbered by itself and starts at the number of rows before it. Cuts only balance the
-    work, the numbers don't depend on them. A first column without quantiles (a string)
-    is numbered in one task.
+    Quantiles of the first column, of a sample by hash if it is a string, cut the rows
+    into ranges; each range is numbered by itself and starts at the number of rows before
+    it. Cuts only balance the work, the numbers don't depend on them. They are found by a
+    pass over that column when the plan is made. A first column of another type is
+    numbered in one task.
     """
     spark, first = df.sparkSession, order[0]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[first].dataType
-    if parts < 2 or not isinstance(kind, _SORTABLE):
+    if parts < 2 or not isinstance(kind, (*_SORTABLE, T.StringType)):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000)).first()[0]
+    if isinstance(kind, T.StringType):
+        share = min(1.0, SAMPLE_ROWS * parts / max(1, df.count()))
+        some = df.where(F.expr(f"xxhash64({', '.join(f'`{c}`' for c in order)}) & 2147483647") <= int(share * 2147483647)).where(F.col(first).isNotNull())
+        values = [r[0] for r in some.select(first).orderBy(first).collect()]
+        cuts = [values[len(values) * i // parts] for i in range(1, parts)] if values else []
+    else:
+        cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000)).first()[0]
+    cuts = sorted(set(cuts or []))
     range_ = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        range_ = range_ + F.when(F.col(first) > F.lit(c), 1).otherwise(0)
+    if cuts:  # how many cuts lie below the value, by binary search
+        powers = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+        found = F.array(*map(F.lit, cuts))
+        range_ = F.aggregate(powers, F.lit(0), lambda m, b: F.when((m + b <= len(cuts)) & (F.get(found, m + b - 1) < F.col(first)), m + b).otherwise(m))
     ranged = df.withColumn("_range", range_)
     counts = ranged.groupBy("_range").count()
     before = counts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

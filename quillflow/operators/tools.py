@@ -34,17 +34,26 @@ class ToolError(RuntimeError):
 
 @dataclass(frozen=True)
 class ColumnTool:
-    """A Column expression of the item: optimised and compiled by Spark, the first choice."""
+    """A Column expression of the item: optimised and compiled by Spark, the first choice.
+
+    ``accepts`` is a condition of the item; where it isn't true, the row is at fault and
+    the expression isn't evaluated.
+    """
 
     name: str
     version: str
     expression: Callable[[Column], Column]
     cacheable: bool = False
+    accepts: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
 class PandasTool:
-    """A function from a pandas Series of items to one of results."""
+    """A function from a pandas Series of items to one of results.
+
+    Under a policy other than fail-run, or with retries, a batch that fails is tried
+    again row by row, to find the rows at fault.
+    """
 
     name: str
     version: str
@@ -68,7 +77,7 @@ class RowTool:
 class ProcessTool:
     """A program that reads a JSON line per item and writes one per result.
 
-    ``mode`` "stream" keeps one process for a partition, "once" starts one for each item.
+    ``mode`` "stream" starts one process for each Arrow batch, "once" one for each item.
     Lines are ``{"seq": n, "item": ...}``; a result may be in any order and names its
     seq. A missing or doubled result, a bad line, or a non-zero exit is an error.
     """
@@ -140,22 +149,38 @@ def _streamed(tool: ProcessTool, items: list[Any]) -> list[Any]:
     return [out[i] for i in range(len(items))]
 
 
+def _series(tool: PandasTool, batch: pa.RecordBatch, kind: pa.DataType, place: int) -> list[Any]:
+    """Results of a batch's items from one call."""
+    out = tool.function(batch.column(place).to_pandas())
+    if len(out) != batch.num_rows:
+        raise RuntimeError(f"{tool.name} gave {len(out)} results for {batch.num_rows} items")
+    return pa.Array.from_pandas(out, type=kind).to_pylist()
+
+
 def apply_tool(df: DataFrame, tool: Tool, policy: Policy | None = None, *, item: str = "item") -> DataFrame:
     """``df`` with the tool's result as column ``item``; with a policy other than fail-run also ``_error`` (null if well).
 
-    Column and pandas tools have no error of a single row: what they raise fails the run.
+    A column tool's row is at fault where the tool doesn't accept it; what its expression
+    raises fails the run.
     """
     policy = (policy or Policy()).over(DEFAULT_POLICY)
     captured = policy.on_error != "fail-run"
     columns = [c for c in df.columns if c != ERROR_COLUMN]
-    if isinstance(tool, ColumnTool | PandasTool):
-        value = tool.expression(F.col(item)) if isinstance(tool, ColumnTool) else F.pandas_udf(tool.function, tool.returns)(F.col(item))
-        out = df.select(*(value.alias(c) if c == item else c for c in columns))
-        return out.withColumn(ERROR_COLUMN, F.lit(None).cast(ERROR)) if captured else out
+    if isinstance(tool, ColumnTool):
+        value, error = tool.expression(F.col(item)), F.lit(None).cast(ERROR)
+        if tool.accepts is not None:
+            fine, said = F.coalesce(tool.accepts(F.col(item)), F.lit(False)), F.lit(f"{tool.name} doesn't accept the item")
+            error = F.when(~fine, F.struct(F.lit("Refused").alias("name"), said.alias("message")).cast(ERROR))
+            value = F.when(fine, value) if captured else F.when(fine, value).otherwise(F.raise_error(said))
+        out = [value.alias(c) if c == item else F.col(c) for c in columns]
+        return df.select(*out, error.alias(ERROR_COLUMN)) if captured else df.select(*out)
+    if isinstance(tool, PandasTool) and not captured and not policy.retry.max:
+        return df.select(*(F.pandas_udf(tool.function, tool.returns)(F.col(item)).alias(c) if c == item else c for c in columns))
     df = df.select(*columns)
     place, kind = columns.index(item), _type(tool.returns)
     schema = T.StructType([T.StructField(f.name, kind) if f.name == item else f for f in df.schema] + ([T.StructField(ERROR_COLUMN, ERROR)] if captured else []))
     arrow, error_type = to_arrow_type(kind), to_arrow_type(ERROR)
+    all_at_once = isinstance(tool, PandasTool) or isinstance(tool, ProcessTool) and tool.mode == "stream"
     one = tool.function if isinstance(tool, RowTool) else lambda x: _once(tool, x)
 
     def shaped(result: Any) -> Any:
@@ -174,11 +199,12 @@ def apply_tool(df: DataFrame, tool: Tool, policy: Policy | None = None, *, item:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = batch.column(place).to_pylist()
-            if isinstance(tool, ProcessTool) and tool.mode == "stream":
-                results, failed = attempt(lambda items=items: list(map(shaped, _streamed(tool, items))))
+            if all_at_once:
+                many = (lambda part: _series(tool, part, arrow, place)) if isinstance(tool, PandasTool) else (lambda part: _streamed(tool, part.column(place).to_pylist()))
+                results, failed = attempt(lambda batch=batch: list(map(shaped, many(batch))))
                 found = [(None, failed)] * len(items) if failed else [(r, None) for r in results]
                 if failed and len(items) > 1:  # find the rows that are at fault
-                    found = [(r[0] if r else None, e) for r, e in (attempt(lambda x=x: list(map(shaped, _streamed(tool, [x])))) for x in items)]
+                    found = [(r[0] if r else None, e) for r, e in (attempt(lambda i=i, batch=batch: list(map(shaped, many(batch.slice(i, 1))))) for i in range(len(items)))]
             else:
                 found = [attempt(lambda x=x: shaped(one(x))) for x in items]
             cols = [pa.array([r for r, _ in found], arrow) if i == place else c for i, c in enumerate(batch.columns)]

@@ -23,6 +23,9 @@ from quillflow.plans.state import StateMachine
 from quillflow.sources import Registry, Stream, default_registry
 
 
+LEVELS = ("debug", "info", "warn", "error")
+
+
 def now() -> str:
     return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
@@ -33,7 +36,7 @@ class Runner:
 
     A tool that runs on workers is staged: its result is written once, so two sinks, a
     retry of the run, or a resume never call it again. ``stage_all`` stages every step.
-    ``pause_when`` is asked before each step.
+    ``pause_when`` is asked before each step. The log has lines of ``log_level`` and above.
     """
 
     spark: SparkSession
@@ -42,6 +45,7 @@ class Runner:
     policy: Policy = DEFAULT_POLICY
     concurrency: int | None = None
     stage_all: bool = False
+    log_level: str = "info"
     pause_when: Callable[[str], bool] = lambda step_id: False
     metrics: dict[str, dict] = field(default_factory=dict)
 
@@ -77,7 +81,7 @@ class Runner:
     def _save(self, pipeline: Pipeline, error: str | None = None) -> None:
         data = {"runId": self.run_id, "pipelineId": pipeline.id, "state": self.machine.state, "startedAt": self.started, "updatedAt": now(), "error": error, "checkpoint": json.loads(self.tree.to_json())}
         fs.write_text(self.spark, f"{self._dir()}/state.json", json.dumps(data, indent=1))
-        fs.append_line(self.spark, f"{self._dir()}/run.log", f"{now()} {self.machine.state}" + (f" {error}" if error else ""))
+        self._log("error" if error else "info", self.machine.state + (f" {error}" if error else ""))
 
     def _execute(self, pipeline: Pipeline) -> str:
         self._save(pipeline)
@@ -119,6 +123,7 @@ class Runner:
             if parent is None and self.pause_when(ids[i]):
                 return False
             node.state = "in-progress"
+            self._log("debug", f"step {ids[i]}")
             if stream is None and step.type != "source":
                 stream = Stream(self.spark.createDataFrame([(0,)], "seq long").select("seq", F.struct().alias("item"), F.lit(None).cast(META).alias("meta")))
             if step.type == "target":
@@ -165,6 +170,8 @@ class Runner:
                 stream = Stream.of(source, *c["order"])
             else:
                 stream = (self.registry.source(source) if isinstance(source, str) else source).read(self.spark)
+                if stream.refused is not None:
+                    self._bury(split_errors(stream.refused, step_id)[1], step_id)
             return Stream(stream.df.repartition(self.concurrency), stream.order) if self.concurrency else stream
         if step.type == "tool":
             return Stream(self._tool(c["tool"], c["policy"].over(p.policy).over(self.policy), step_id, stream.df), stream.order)
@@ -203,10 +210,17 @@ class Runner:
         df.write.parquet(path)
         good, dead = split_errors(self.spark.read.parquet(path), step_id)
         if policy.on_error == "dead-letter":
-            # one folder for each step, replaced by a repeated attempt
-            dead.write.mode("overwrite").parquet(f"{self._dir()}/dead-letters/step={step_id.replace('/', '_')}")
+            self._bury(dead, step_id)
         return good
 
+    def _bury(self, dead: DataFrame, step_id: str) -> None:
+        """One folder of dead letters for each step, replaced by a repeated attempt."""
+        dead.write.mode("overwrite").parquet(f"{self._dir()}/dead-letters/step={step_id.replace('/', '_')}")
+
+    def _log(self, level: str, text: str) -> None:
+        if LEVELS.index(level) >= LEVELS.index(self.log_level):
+            fs.append_line(self.spark, f"{self._dir()}/run.log", f"{now()} {level} {text}")
+
 
 def dead_letters(spark: SparkSession, root: str, run_id: str) -> DataFrame | None:
     """The dead letters of all steps of a run, or None without any."""

@@ -9,9 +9,10 @@ __all__ = ["JsonlSource", "JsonlTarget", "Registry", "Source", "Stream", "Target
 
 def default_registry() -> Registry:
     """A registry with all built-in schemes."""
+    from quillflow.sources.commit import register_git
     from quillflow.streaming.http import register_http
 
     registry = Registry()
-    for register in (register_jsonl, register_files, register_http):
+    for register in (register_jsonl, register_files, register_git, register_http):
         register(registry)
     return registry

@@ -1,13 +1,17 @@
-"""A hook for targets in a working tree: after the write, commit what has changed."""
+"""Git: a hook for targets in a working tree that commits what has changed, a source of a ref's files, and a target that commits."""
 
 from __future__ import annotations
 
+import os
 import subprocess
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from quillflow.sources.registry import Target
+from quillflow import fs
+from quillflow.sources.files import FolderSource, FolderTarget
+from quillflow.sources.registry import Registry, Stream, Target
 
 
 class GitMissing(RuntimeError):
@@ -47,3 +51,52 @@ class CommitOnClose:
     def write(self, df: DataFrame) -> None:
         self.target.write(df)
         auto_commit(self.folder)
+
+
+@dataclass
+class GitSource:
+    """``git://folder?ref=&glob=``: the files of a repository at a ref, from a worktree of its own beside it.
+
+    The worktree (``<folder>.worktrees/<commit>``) is made once for a commit and must lie
+    where the executors see it.
+    """
+
+    folder: str
+    ref: str = "HEAD"
+    glob: str | None = None
+    lifecycle: str = "resumable"
+
+    def worktree(self) -> str:
+        code, commit, errors = exec_git(self.folder, "rev-parse", "--verify", f"{self.ref}^{{commit}}")
+        if code:
+            raise LookupError(f"no ref {self.ref!r}: {errors.strip()}")
+        place = f"{os.path.abspath(self.folder)}.worktrees/{commit.strip()}"
+        if not os.path.isdir(place):
+            code, _, errors = exec_git(self.folder, "worktree", "add", "--detach", place, commit.strip())
+            if code:
+                raise RuntimeError(f"git worktree failed: {errors}")
+        return place
+
+    def read(self, spark: SparkSession) -> Stream:
+        return FolderSource(f"file://{self.worktree()}", self.glob).read(spark)
+
+
+@dataclass
+class GitTarget:
+    """``git://folder?path=out``: items as text in a new folder of a repository, moved there when they are all written, then committed."""
+
+    folder: str
+    path: str = "output"
+
+    def write(self, df: DataFrame) -> None:
+        place = f"file://{os.path.abspath(self.folder)}/{self.path}/{uuid.uuid4().hex}"
+        temp = f"file://{os.path.abspath(self.folder)}.worktrees/new-{uuid.uuid4().hex}"
+        FolderTarget(temp).write(df)
+        fs.make_folder(df.sparkSession, place.rsplit("/", 1)[0])
+        fs.rename(df.sparkSession, temp, place)
+        auto_commit(self.folder)
+
+
+def register_git(registry: Registry) -> None:
+    registry.register_source("git", lambda u: GitSource(u.file_path(), u.query.get("ref", "HEAD"), u.query.get("glob")))
+    registry.register_target("git", lambda u: GitTarget(u.file_path(), u.query.get("path", "output")))

@@ -12,7 +12,7 @@ from quillflow.functions.uri import ParsedUri
 from quillflow.model import META
 from quillflow.sources.registry import Registry, Stream
 
-FORMATS = ("parquet", "orc", "csv", "json", "text", "avro", "jdbc")
+FORMATS = ("parquet", "orc", "csv", "json", "text", "avro", "jdbc", "kafka")
 
 
 @dataclass

@@ -28,9 +28,11 @@ def line_numbers(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class JsonlSource:
-    """Options of the URI: batchSize, onError (fail-run, skip-item), schema (DDL of the item; text without one).
+    """Options of the URI: batchSize, onError (fail-run, skip-item, dead-letter), schema (DDL of the item; text without one).
 
-    A line is either an item or an object with ``item`` and perhaps ``meta``.
+    A line is either an item or an object with ``item`` and perhaps ``meta``. With
+    dead-letter, malformed lines are the stream's ``refused`` rows, which a run writes to
+    its dead letters.
     """
 
     path: str
@@ -50,7 +52,12 @@ class JsonlSource:
             lines = lines.where(F.col("seq") >= self.cursor)
         lines = lines.where(F.trim(F.regexp_replace("raw", r"[\s\x{FEFF}]+", "")) != "")
         good = F.try_parse_json("raw").isNotNull()
-        if self.on_error == "skip-item":
+        refused = None
+        if self.on_error in ("skip-item", "dead-letter"):
+            if self.on_error == "dead-letter":
+                said = F.concat(F.lit("malformed JSON at line "), F.col("seq").cast("string"))
+                error = F.struct(F.lit("MalformedLine").alias("name"), said.alias("message"))
+                refused = lines.where(~good).select("seq", F.col("raw").alias("item"), error.alias("_error"))
             lines = lines.where(good)
         else:
             bad = F.concat(F.lit("malformed JSON at line "), F.col("seq").cast("string"))
@@ -66,7 +73,7 @@ class JsonlSource:
             first = F.col("items")[0]
             many = F.when(F.size("items") == self.batch_size, F.transform("items", lambda x: x["item"]))
             df = groups.select(first["seq"].alias("seq"), first["item"].alias("item"), many.alias("items"), first["meta"].alias("meta"))
-        return Stream(df)
+        return Stream(df, refused=refused)
 
 
 @dataclass

@@ -15,10 +15,14 @@ from quillflow.model import META
 
 @dataclass(frozen=True)
 class Stream:
-    """Rows in flight: columns ``item`` and ``meta``, and perhaps ``items``, in the order of some columns."""
+    """Rows in flight: columns ``item`` and ``meta``, and perhaps ``items``, in the order of some columns.
+
+    ``refused`` has what a source can't read, as rows with an ``_error``, for the dead letters.
+    """
 
     df: DataFrame
     order: tuple[str, ...] = ("seq",)
+    refused: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, *order: str) -> Stream:

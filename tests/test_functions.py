@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillflow.functions import backoff, backoff_column, canonical, driver_key, parse_query, parse_uri, query_params, uri_struct, with_retry
+from quillflow.functions import backoff, backoff_column, canonical, driver_key, parse_query, parse_uri, query_params, uri_fragment, uri_struct, with_retry
+from quillflow.functions.uri import cut_uri
 from quillflow.model import DEFAULT_POLICY, Policy, Retry
 
 
@@ -68,3 +71,26 @@ def test_keys_do_not_depend_on_order():
     assert driver_key("t", "1", {"a": 1, "b": 2}) == driver_key("t", "1", {"b": 2, "a": 1})
     assert driver_key("t", "1", {"a": 1}) != driver_key("t", "2", {"a": 1})
     assert canonical({"b": [1, None], "a": "é"}) == '{"a":"é","b":[1,null]}'
+
+
+@given(st.text("aZ9+-.:/?#=&% é\n", max_size=14))
+def test_uri_parts_put_together_again(raw):
+    parts = cut_uri(raw)
+    if parts is None:
+        with pytest.raises(ValueError):
+            parse_uri(raw)
+        return
+    scheme, host, path, query, fragment = parts
+    assert scheme[0].isalpha() and not set(host) & set("/?#") and not set(path) & set("?#") and "#" not in query
+    forms = [f"{scheme}:{slashes}{host}{path}" for slashes in ("", "//")]
+    assert raw in {f + q + h for f in forms for q in {f"?{query}", ""} for h in {f"#{fragment}", ""}}
+
+
+def test_uri_columns_equal_the_driver(spark):
+    marks = ["a", "Z9", "+", ".", ":", "/", "//", "?", "#", "é", "..", "\n"]
+    rng = random.Random(5)
+    uris = [*("".join(rng.choices(marks, k=rng.randint(0, 8))) for _ in range(400)), *(f"s://{''.join(rng.choices(marks, k=5))}" for _ in range(200)), "x:y", "s://../p", "s://.../p"]
+    df = spark.createDataFrame([(u,) for u in uris] + [(None,)], "u string").select("u", uri_struct(F.col("u")).alias("s"), uri_fragment(F.col("u")).alias("f"))
+    for r in df.where("u is not null").collect():
+        want = cut_uri(r.u) or ("",) * 4
+        assert tuple(r.s) == want[:4] and r.f == r.u.partition("#")[2], r

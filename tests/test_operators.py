@@ -5,8 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillflow.functions import content_key
 from quillflow.model import Policy, Retry
-from quillflow.operators import ColumnTool, Memo, ProcessTool, RowTool, apply_tool, batch, fork, numbered, sliding, split_errors, tap
+from quillflow.operators import ColumnTool, Memo, PandasTool, ProcessTool, RowTool, apply_tool, batch, fork, numbered, sliding, split_errors, tap
 from quillflow.operators import counts
 from quillflow.operators.rows import domain_lines, flat_map, tap_each
 
@@ -147,3 +148,52 @@ def test_results_must_have_the_declared_type(spark):
     tool = RowTool("t", "1", lambda x: 1 if x == "a" else "no number", "int")
     rows = apply_tool(items(spark, ["a", "b"]), tool, Policy(Retry(0), "skip-item")).orderBy("seq").collect()
     assert rows[0].item == 1 and rows[0]._error is None and rows[1]._error is not None
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400])
+def test_strings_are_numbered_in_ranges(spark, n):
+    rows = [(f"{(i * 7919) % 1000:03d}é" if i % 50 else None, i) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, i int")
+    got = numbered(df, "s", "i", parts=6)
+    assert [(r.s, r.i) for r in sorted(got.collect(), key=lambda r: r.number)] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted(r.number for r in got.collect()) == list(range(1, n + 1))
+
+
+def test_rows_at_fault_of_every_kind_of_tool(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(6)] + [(9, None)], "seq int, item string")
+
+    def odd(s):
+        if (s.str.len() == 3).any():
+            raise ValueError("three")
+        return s.str.len()
+
+    tools = (ColumnTool("t", "1", F.length, accepts=lambda c: F.length(c) != 3), PandasTool("t", "1", odd, "bigint"))
+    for tool in tools:
+        got = {r.seq: (r.item, r._error and r._error.name) for r in apply_tool(df, tool, Policy(Retry(0), "dead-letter")).collect()}
+        assert got[3] == (None, "Refused" if isinstance(tool, ColumnTool) else "ValueError") and got[5] == (5, None)
+        with pytest.raises(Exception):  # noqa: B017
+            apply_tool(df, tool, Policy(Retry(0))).collect()
+    once = [0]
+
+    def flaky(s):
+        once[0] += 1
+        if once[0] == 1:
+            raise OSError("once")
+        return s.str.len()
+
+    assert apply_tool(df.coalesce(1), PandasTool("t", "1", flaky, "bigint"), Policy(Retry(1, 0))).where("item = 5").count() == 1
+
+
+def test_memo_lookups_and_versions(spark, tmp_path):
+    memo = Memo(spark, str(tmp_path / "memo"))
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "seq int, item string")
+    keys = df.select(content_key("up", "1", F.col("item")).alias("k"))
+    assert memo.has(keys).where("hit").count() == 0 and memo.get(keys).count() == 0
+    memo.apply(df, "up", "1", lambda todo: todo.withColumn("item", F.upper("item")))
+    assert memo.has(keys).where("hit").count() == 6
+    gone = df.where("seq < 2").select(content_key("up", "1", F.col("item")).alias("k"))
+    memo.delete(gone)
+    memo.delete(gone)
+    assert sorted(r.output for r in memo.get(keys).collect()) == ["T2", "T3", "T4", "T5"]
+    assert memo.apply(df, "up", "1", lambda todo: todo.withColumn("item", F.lower("item"))).where("item = 't0'").count() == 1
+    assert len([x for x in (tmp_path / "memo").iterdir() if x.is_dir()]) == 1

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillflow.functions import parse_uri
+from quillflow.plans import Runner, dead_letters, pipeline
 from quillflow.sources import JsonlSource, JsonlTarget, default_registry, line_numbers
+from quillflow.sources.commit import exec_git
 from quillflow.sources.files import FolderSource, FolderTarget, FormatSource
 from quillflow.streaming import HttpReceiver, HttpTarget, landed_stream, run_stream, stateful_batches
 
@@ -114,3 +116,36 @@ def test_commit_on_close(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("PATH", "")
     with pytest.raises(GitMissing):
         exec_git(str(tmp_path), "status")
+
+
+def test_malformed_lines_become_dead_letters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"item":"a"}\n{"item":\n\n{"item":"b"}\nnope\n')
+    for size in (1, 2):
+        runner = Runner(spark, str(tmp_path / "runs"), log_level="debug")
+        run = runner.start(pipeline("p").from_(f"jsonl:{tmp_path}/in?onError=dead-letter&batchSize={size}").to(f"jsonl:{tmp_path}/out{size}"))
+        dead = dead_letters(spark, str(tmp_path / "runs"), run).collect()
+        assert sorted(r.error.message for r in dead) == ["malformed JSON at line 1", "malformed JSON at line 4"] and {r.error.name for r in dead} == {"MalformedLine"}
+        log = (tmp_path / "runs" / "runs" / run / "run.log").read_text()
+        assert "debug step 0-source" in log and "info done" in log
+
+
+def test_files_of_a_ref_and_commits(spark, tmp_path):
+    folder = tmp_path / "repo"
+    folder.mkdir()
+    git = lambda *a: exec_git(str(folder), "-c", "user.name=a", "-c", "user.email=a@b", *a)
+    git("init", "-b", "main")
+    for name, value in (("user.name", "a"), ("user.email", "a@b")):
+        git("config", name, value)
+    for i, text in enumerate(("one", "two")):
+        (folder / "a.md").write_text(text)
+        (folder / "b.txt").write_text("no")
+        git("add", "-A")
+        git("commit", "-m", str(i))
+    registry = default_registry()
+    read = lambda uri: [r.item.text for r in registry.source(uri).read(spark).df.collect()]
+    assert read(f"git:{folder}?ref=main~1&glob=*.md") == ["one"] and read(f"git:{folder}?glob=*.md") == ["two"]
+    with pytest.raises(LookupError):
+        read(f"git:{folder}?ref=none")
+    registry.target(f"git:{folder}?path=out").write(spark.createDataFrame([("x",)], "item string"))
+    assert git("show", "--stat", "HEAD")[1].count("out/") >= 1 and not git("status", "--short")[1]
