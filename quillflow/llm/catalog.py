@@ -8,8 +8,8 @@ from quillflow.llm.html import op5_html
 from quillflow.llm.language import op4_language, pages_language
 from quillflow.llm.minhash import op1_minhash
 from quillflow.llm.oracle import ORACLE_SQL
-from quillflow.llm.packing import op9_packing
-from quillflow.llm.secrets import op8_secrets, secret_counts
+from quillflow.llm.packing import op9_packing, packing_coverage
+from quillflow.llm.secrets import op8_secrets, secret_spans
 from quillflow.llm.sharding import op7_sharding, sharding_round_trip
 from quillflow.llm.toxicity import op10_toxicity
 from quillflow.llm.urls import op6_urls
@@ -17,7 +17,7 @@ from quillflow.llm.urls import op6_urls
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing, op10_toxicity, decontaminate_exact, fingerprint_edits, pages_language, secret_counts, sharding_round_trip,
+        op1_minhash, op2_fingerprint, op3_decontaminate, op4_language, op5_html, op6_urls, op7_sharding, op8_secrets, op9_packing, op10_toxicity, decontaminate_exact, fingerprint_edits, packing_coverage, pages_language, secret_spans, sharding_round_trip,
     )
 }
 

@@ -40,15 +40,43 @@ WITH docs AS (
 )
 SELECT doc_id, item_id FROM docs JOIN items ON contains(docs.t, items.t)
 """
-#: The spans of the three base kinds, counted; RE2's matches are leftmost and don't overlap.
-BASE_SPANS = r"""
-WITH found AS (
+#: Kind, pattern (its first group is what must have the least length) and least length.
+_KINDS = (
+    ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", "(AKIA[A-Z0-9]+)", 18),
+    ("hex", "([0-9a-f]+)", 16),
+)
+
+
+def _spans(kind: str, pattern: str, least: int, order: int) -> str:
+    """A list of a kind's spans: matches are where the parts between them and those before end."""
+    all_, kept, between = f"regexp_extract_all(t, '{pattern}', 0)", f"regexp_extract_all(t, '{pattern}', 1)", f"regexp_split_to_array(t, '{pattern}')"
+    size = "list_sum(list_transform({}, lambda s: length(s)))"
+    rows = f"""SELECT doc_id, {all_} AS m, {kept} AS g, {between} AS b FROM docs WHERE regexp_matches(t, '{pattern}')"""
+    place = f"CAST({size.format('b[1:i]')} + coalesce({size.format('m[1:i - 1]')}, 0) AS BIGINT)"
+    return f"""
+    SELECT doc_id, {order} AS k, place, '{kind}:' || place || ':' || (place + length(m[i])) AS x
+    FROM (SELECT doc_id, m, g, i, {place} AS place FROM ({rows}), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i)) WHERE length(g[i]) >= {least}"""
+
+
+BASE_SPANS = f"""
+WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
+), spans AS ({' UNION ALL '.join(_spans(*kind, i) for i, kind in enumerate(_KINDS))})
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(x, ',' ORDER BY place, k), '')) AS base_sha256
+FROM docs LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+"""
+COVERAGE = "SELECT doc_id, TRUE AS whole FROM documents"
+#: For pages whose article is one element of headings and paragraphs, as in the given tables; the votes of hosts don't matter there.
+ARTICLES = r"""
+WITH parts AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS blocks FROM pages
+), plain AS (
+  SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM parts
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) AS text FROM plain
 )
-SELECT doc_id,
-       len(regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1).list_filter(lambda x: length(x) >= 12)) AS n_assign,
-       len(regexp_extract_all(t, 'AKIA[A-Z0-9]+').list_filter(lambda x: length(x) >= 18)) AS n_access,
-       len(regexp_extract_all(t, '[0-9a-f]+').list_filter(lambda x: length(x) >= 16)) AS n_hex
-FROM found
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
 """
-ORACLE_SQL = {"fingerprint_edits": EDITS, "decontaminate_exact": EXACT_ITEMS, "secret_counts": BASE_SPANS, "op1_minhash": MINHASH, "op6_urls": URLS, "sharding_round_trip": SHARDS}
+ORACLE_SQL = {"op5_html": ARTICLES, "fingerprint_edits": EDITS, "decontaminate_exact": EXACT_ITEMS, "secret_spans": BASE_SPANS, "packing_coverage": COVERAGE, "op1_minhash": MINHASH, "op6_urls": URLS, "sharding_round_trip": SHARDS}

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillflow.llm import tokens
-from quillflow.llm.staging import small_batches, table
+from quillflow.llm.staging import small_batches, stage, table
 
 CAPACITY, END = 2048, 1
 #: A group that is packed together ends at so many documents, or ids.
@@ -211,3 +211,13 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents`` in windows of 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def packing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's pieces, and the sequences that they lie in, are gapless and of the right size."""
+    pieces = op9_packing(spark, sf_dir)
+    pieces = stage(pieces, "pieces")  # sequence ids depend on how the input is split
+    near = lambda key, at: F.coalesce(F.lag(F.expr(f"`{at}` + length")).over(Window.partitionBy(key).orderBy(at)), F.lit(0)) == F.col(at)
+    sequences = pieces.withColumn("fits", near("sequence_id", "offset")).groupBy("sequence_id").agg((F.min("fits") & (F.sum("length") <= CAPACITY)).alias("fits"))
+    pieces = pieces.withColumn("joins", near("doc_id", "start")).join(sequences, "sequence_id")
+    return pieces.groupBy("doc_id").agg((F.min("joins") & F.min("fits") & (F.sum("length") == F.max("doc_tokens"))).alias("whole"))

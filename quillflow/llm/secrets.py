@@ -293,6 +293,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
-def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbers of base spans, which SQL can express."""
-    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans' numbers and places, which SQL can express."""
+    return op8_secrets(spark, sf_dir).drop("spans")
