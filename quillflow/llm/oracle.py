@@ -73,7 +73,7 @@ ARTICLES = r"""
 WITH parts AS (
   SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS blocks FROM pages
 ), plain AS (
-  SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM parts
+  SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM parts
 ), texts AS (
   SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) AS text FROM plain
 )
