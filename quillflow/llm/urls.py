@@ -18,8 +18,15 @@ from quillflow.llm.staging import small_batches, table
 
 #: (verdict, host and path), fixed values.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-STRICT = ("casino", "escort", "gambling", "porn", "viagra", "xxx")
-SOFT = ("ads", "adult", "bet", "bets", "bonus", "cheap", "deals", "farm", "free", "loan", "pills", "poker", "slots", "spam", "track", "win")
+#: One strict term is enough to block, of soft ones it takes LIMIT: English, German, French, Spanish, Italian and Portuguese.
+STRICT = tuple(
+    "bitches blackjack bordell camgirls casino casinos cialis escort escorts gambling hentai kasino milf onlinecasino porn porno pornos pornografia pornographie putas roulette sexcam sexcams sexshop "
+    "slotmachine tragaperras viagra xvideos xxx".split()
+)
+SOFT = tuple(
+    "ads adult apostas apuestas azar backlinks barato bet bets bettings billig bonus bono cheap coupons crack dating deals discount erotica erotik farm flirt followers free gewinnspiel giochi gratis gratuit "
+    "jackpot keygen kostenlos kredit levitra loan loans loteria loterie lotterie lotto nude nudes payday pills poker prestamo promo rabatt replica scommesse slots spam spielautomaten torrent track warez wetten win".split()
+)
 LIMIT = 2
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")

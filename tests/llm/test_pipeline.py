@@ -43,3 +43,30 @@ def test_stages_against_brute_force(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sum(r.length for r in P.run(spark, DATA).collect()) == sum(r.length for r in stages[-1][2])
+
+
+def test_odd_rows_and_tables(spark, tmp_path):
+    """Null, empty, repeated and unnamed rows, a long text, columns with names of the operators' own, and empty tables."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _language string, component_id long, item_id int"
+    text = "the words of this text are here for the reader and for all who want them " * 3
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, None), (4, ""), (5, "12 34"), (6, "password = abcdefghijklmn and the rest of it is plain"), (7, "the long text of words that never ends " * 20_000), (8, "a short test item is in this text of words"), (9, "x")]
+    rows = [(i, t, "en" if i != 9 else None, None if i == 2 else "h", None if t is None else len(t), False, "xx", 0, 1) for i, t in rows]
+    for name, docs, items in (("full", rows, [(1, "short test item"), (2, None), (3, "")]), ("empty", [], []), ("no items", rows, [])):
+        folder = tmp_path / name
+        spark.createDataFrame(docs, columns).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        df, kept = spark.read.parquet(str(folder / "documents.parquet")), []
+        for stage_name, f in P.STAGES:
+            after = stage(f(spark, df, str(folder)), stage_name)
+            assert stage_name == "packing" or after.schema.simpleString() == df.schema.simpleString()
+            kept.append(sorted((-1 if r.doc_id is None else r.doc_id) for r in after.select("doc_id").distinct().collect()))
+            if stage_name == "secrets" and docs:
+                found = {r.doc_id: r for r in after.collect()}
+                assert "abcdefghijklmn" not in found[6].text and found[6].n_chars == len(found[6].text) and found[7].text == rows[9][1]
+            df = after
+        if not docs:
+            assert kept == [[]] * 5
+        else:
+            assert kept[1] == [i for i in kept[0] if i != 2] and {-1, 1, 6, 7, 8} <= set(kept[0]) and not {3, 4, 5} & set(kept[0])
+            assert kept[2] == [i for i in kept[1] if i != 8 or not items] and kept[4] == kept[3] == kept[2]
+        assert sum(r.length for r in df.collect()) == sum(r.length for r in P.run(spark, str(folder)).collect())

@@ -46,3 +46,10 @@ def test_equals_brute_force_and_sql(spark):
 def test_long_url_and_no_rules(spark):
     df = spark.createDataFrame([(1, "http://a.com/" + "x/" * 100_000 + "casino")], "page_id long, url string")
     assert R.judge(df, rules=()).first().verdict == "block" and R.judge(df, rules=(), strict=(), soft=()).first().verdict == "allow"
+
+
+def test_terms_of_other_languages(spark):
+    urls = {"http://a.org/kostenlos/lotto": "block", "http://a.org/kostenlos": "allow", "http://a.org/lottomann-kostenloses": "allow", "http://a.org/tragaperras": "block", "http://a.org/apuestas_gratis": "block", "http://a.org/gratis?x=gratis": "allow"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {list(urls)[r.page_id]: r.verdict for r in R.judge(df).collect()} == urls
+    assert not set(R.STRICT) & set(R.SOFT) and all(t.isalpha() and t.isascii() and t == t.lower() for t in R.STRICT + R.SOFT)
