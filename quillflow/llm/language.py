@@ -119,7 +119,7 @@ def fit(docs: DataFrame, text: Column, label: Column) -> Model:
 
 
 def identify(
-    docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column, labelled: bool = False, names: tuple[str, str, str] = ("_language", "_probability", "_kept")
+    docs: DataFrame, model: Model, *, text: Column, declared: Column, host: Column, labelled: bool = False, names: tuple[str, str, str] = ("_language", "_probability", "_kept"), columns: list[str] | None = None
 ) -> DataFrame:
     """``docs`` with three more columns, by default ``_language``, ``_probability``, ``_kept``; they replace columns of the same name.
 
@@ -127,14 +127,15 @@ def identify(
     A text that is null, empty or without letters has no likelihood of its own and is
     ``und``. Null or unknown declarations and hosts are no evidence; if the model's
     labels are the declarations (``labelled``), neither is that of a text it was fitted
-    on. Of languages with the same posterior the first in order wins. Texts count whole,
+    on. With ``columns`` only those of ``docs`` come out; they and the scores are then
+    written once, else every text is scored twice rather than written. Of languages with the same posterior the first in order wins. Texts count whole,
     a batch of rows is in memory at once. Rows that repeat count as often for their host.
     An empty table stays empty; other columns, whatever their names, pass through.
     """
     spark, n = docs.sparkSession, len(model.languages)
     small_batches(spark)
     tag = "_" + uuid.uuid4().hex[:8]
-    own_columns = [c for c in docs.columns if c not in names]
+    own_columns = [c for c in (docs.columns if columns is None else columns) if c not in names]
     language, probability, kept = names
     names = [f"{tag}_{i}" for i in range(n)]
     address = F.lower(F.coalesce(host, F.lit("")))
@@ -143,7 +144,8 @@ def identify(
     said = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]+", 0)
     if labelled and model.fitted:
         said = F.when(F.xxhash64(text.cast("string")).isin(*sorted(model.fitted)), F.lit("")).otherwise(said)
-    rows = docs.select("*", text.cast("string").alias(tag + "_text"), said.alias(tag + "_said"), address.alias(tag + "_host"), F.when(last == "", F.lit("")).otherwise(last).alias(tag + "_last"), spoken.alias(tag + "_spoken"))
+    own_rows = docs.columns if columns is None else own_columns
+    rows = docs.select(*own_rows, text.cast("string").alias(tag + "_text"), said.alias(tag + "_said"), address.alias(tag + "_host"), F.when(last == "", F.lit("")).otherwise(last).alias(tag + "_last"), spoken.alias(tag + "_spoken"))
     shared = spark.sparkContext.broadcast((model.languages, model.weights))
 
     def scored(df: DataFrame) -> DataFrame:
@@ -176,8 +178,13 @@ def identify(
         df = df.withColumns({f"{tag}_e{i}": F.exp(F.col(c) - F.col(tag + "_top")) for i, c in enumerate(names)})
         return df.withColumn(tag + "_z", F.expr(" + ".join(f"{tag}_e{i}" for i in range(n))))
 
-    own = scored(rows.select(*(tag + x for x in ("_text", "_said", "_host", "_last", "_spoken"))))
-    sums = shares(own).select(tag + "_host", tag + "_last", *(F.expr(f"{tag}_e{i} / {tag}_z").alias(f"s{i}") for i in range(n)))
+    if columns is None:
+        own = scored(rows.select(*(tag + x for x in ("_text", "_said", "_host", "_last", "_spoken"))))
+    else:
+        rows = own = stage(scored(rows), "scores")
+    own = shares(own)
+    rows = rows if columns is None else own
+    sums = own.select(tag + "_host", tag + "_last", *(F.expr(f"{tag}_e{i} / {tag}_z").alias(f"s{i}") for i in range(n)))
     hosts = stage(sums.groupBy(tag + "_host", tag + "_last").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(n))), "hosts")
     whole = hosts.agg(*(F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(n))).first()
     p = (np.array(whole) + 1) / (sum(whole) + n)
@@ -190,8 +197,8 @@ def identify(
     if priors.count() <= BROADCAST_HOSTS:
         found = rows.join(F.broadcast(priors), tag + "_host", "left")
     else:  # a host may have any share of the rows
-        found = spread_join(rows, priors, [tag + "_host"], tag + "_text")
-    both = shares(scored(found))
+        found = spread_join(rows, priors, [tag + "_host"], tag + ("_text" if columns is None else "_top"))
+    both = shares(scored(found)) if columns is None else found
     # a row's own share is taken out of its host's sums
     both = both.withColumns({f"{tag}_f{i}": F.expr(f"{c} + ln(greatest({tag}_s{i} - {tag}_e{i} / {tag}_z, 0) + {HOST_WEIGHT} * {tag}_p{i})") for i, c in enumerate(names)})
     fused = [f"{tag}_f{i}" for i in range(n)]
@@ -210,8 +217,7 @@ def document_languages(docs: DataFrame, **named) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every row of ``documents`` and whether it is kept."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return document_languages(docs).select("doc_id", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+    return document_languages(table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,5 +225,5 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), "(?s)<[^>]*>", " ")
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1)
-    found = identify(pages, fit(docs, F.col("text"), F.col("lang")), text=plain, declared=declared, host=F.regexp_extract("url", r"://([^/?#]*)", 1))
+    found = identify(pages, fit(docs, F.col("text"), F.col("lang")), text=plain, declared=declared, host=F.regexp_extract("url", r"://([^/?#]*)", 1), columns=["page_id", "url"])
     return found.select("page_id", "url", F.col("_language").alias("language"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))

@@ -156,3 +156,20 @@ def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_HOSTS", 0)
     monkeypatch.setattr(graph, "SPLIT_ROWS", 20)
     assert ask() == want and len(want) == 301
+
+
+def test_chosen_columns_are_scored_once_with_the_same_result(spark, monkeypatch):
+    from quillflow.llm import graph
+
+    rows = [(i, TEXTS["de" if i % 2 else "fr"] if i % 5 else "x", "de", "h" if i % 3 else f"h{i}") for i in range(120)] + [(300, None, None, None), (7, "12", "fr", "h")]
+    df = spark.createDataFrame(rows, "i int, text string, lang string, source string").repartition(3)
+
+    def ask(**named):
+        found = L.identify(df, model(), text=F.col("text"), declared=F.col("lang"), host=F.col("source"), **named)
+        return sorted((r.i, r._language, round(r._probability, 9), r._kept) for r in found.collect())
+
+    want = ask()
+    assert ask(columns=["i"]) == want and L.identify(df, model(), text=F.col("text"), declared=F.col("lang"), host=F.col("source"), columns=["i"]).columns == ["i", "_language", "_probability", "_kept"]
+    monkeypatch.setattr(L, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(graph, "SPLIT_ROWS", 20)
+    assert ask(columns=["i"]) == want
