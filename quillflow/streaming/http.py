@@ -115,20 +115,33 @@ class HttpReceiver:
 
 @dataclass
 class HttpSource:
-    """``http://host/path?port=``: a receiver and the stream of what it lands."""
+    """``http://host/path?port=&folder=``: a receiver and the stream of what it lands.
+
+    The folder must be one that the executors see; without one a temporary folder is
+    used where the master is local, and reading is an error elsewhere.
+    """
 
     path: str = PATH
     port: int = PORT
-    folder: str = field(default_factory=lambda: tempfile.mkdtemp(prefix="landing-"))
+    folder: str | None = None
     lifecycle: str = "long-lived"
+    own: str | None = field(default=None, init=False)
+
+    def _landing(self) -> str:
+        if not self.folder and not self.own:
+            self.own = tempfile.mkdtemp(prefix="landing-")
+        return self.folder or self.own
 
     def open(self) -> HttpReceiver:
-        return HttpReceiver(self.folder, self.port, self.path)
+        return HttpReceiver(self._landing(), self.port, self.path)
 
     def read(self, spark: SparkSession) -> Stream:
         from quillflow.streaming.micro import landed_stream
 
-        return Stream(landed_stream(spark, self.folder))
+        master = spark.sparkContext.master
+        if not self.folder and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("name a folder that the driver and all executors share: http://host/path?folder=")
+        return Stream(landed_stream(spark, self._landing()))
 
 
 @dataclass

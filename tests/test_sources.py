@@ -1,4 +1,5 @@
 import json
+import os
 import urllib.error
 import urllib.request
 
@@ -149,3 +150,10 @@ def test_files_of_a_ref_and_commits(spark, tmp_path):
         read(f"git:{folder}?ref=none")
     registry.target(f"git:{folder}?path=out").write(spark.createDataFrame([("x",)], "item string"))
     assert git("show", "--stat", "HEAD")[1].count("out/") >= 1 and not git("status", "--short")[1]
+
+
+def test_a_receiver_without_a_folder(spark):
+    source = default_registry().source("http://127.0.0.1/in?port=0")
+    with source.open() as r:
+        assert post(r.port, "/in", b'{"id": 1}') == 200
+    assert source.read(spark).df.isStreaming and len(os.listdir(source.own)) == 1
