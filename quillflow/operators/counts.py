@@ -2,50 +2,72 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a block of a sliding window; each block also reads the rows before it that its first windows need.
 BLOCK_ROWS = 10_000
-#: Rows for each range in the sample of strings that cuts ranges.
-SAMPLE_ROWS = 20
-_SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Rows for each range in the sample that cuts ranges; fewer rows than this a range aren't worth another range.
+SAMPLE_ROWS, RANGE_ROWS = 20, 250_000
 
 
-def numbered(df: DataFrame, *order: str, name: str = "number", parts: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, *order: str, name: str = "number", parts: int | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Adds the position 1, 2, ... of each row in the order of the columns (which should have no ties).
 
-    Quantiles of the first column, of a sample by hash if it is a string, cut the rows
-    into ranges; each range is numbered by itself and starts at the number of rows before
-    it. Cuts only balance the work, the numbers don't depend on them. They are found by a
-    pass over that column when the plan is made. A first column of another type is
-    numbered in one task.
+    ``within`` starts anew for each value of those columns; nulls are one value. Rows are
+    cut into ranges by all these columns, so neither a value that many rows share nor a
+    key that holds most rows is one task; each range is numbered by itself and starts at
+    the number of rows before it (of its key). Cuts come from a sample by hash and only
+    balance the work, the numbers don't depend on them. They are found by a count and a
+    pass over these columns when the plan is made; without ``parts`` a small table is one
+    range. Where the first column is an array, a map or a struct all is one range.
+    """
+    keys = [*within, *order]
+    total = df.count()
+    if parts is None:
+        parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    plain = list(itertools.takewhile(lambda c: not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)), keys))
+    cuts = range_cuts(df, plain, parts, total) if parts > 1 and plain else []
+    if not cuts:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("bigint"))
+    kinds = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(plain))
+    found = F.array_sort(F.arrays_zip(*(F.lit(list(values)) for values in zip(*cuts, strict=True))).cast(f"array<struct<{kinds}>>"))
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)))
+    powers = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    # how many cuts lie below the row, by binary search
+    ranged = df.withColumn("_range", F.aggregate(powers, F.lit(0), lambda m, b: F.when((m + b <= len(cuts)) & (F.get(found, m + b - 1) < own), m + b).otherwise(m)))
+    counts = ranged.groupBy("_range", *within).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # only the first key of a range can have rows before it, so at most ``parts`` rows are broadcast
+    before = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0")
+    before = before.select(F.col("_range").alias("_at"), *(F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(within)), "_before")
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(within):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_key{i}"))
+    local = F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order))
+    rows = ranged.withColumn(name, local).join(F.broadcast(before), same, "left")
+    return rows.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0).cast("bigint"))).select(*(c for c in df.columns if c != name), name)
+
+
+def range_cuts(df: DataFrame, keys: list[str], parts: int, total: int) -> list[tuple]:
+    """At most ``parts`` - 1 rows of the columns, which cut ``df`` into ranges of about the same number of rows.
+
+    About SAMPLE_ROWS rows for each range are drawn by hash; equal ones are one row on the
+    driver, with their number.
     """
-    spark, first = df.sparkSession, order[0]
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = df.schema[first].dataType
-    if parts < 2 or not isinstance(kind, (*_SORTABLE, T.StringType)):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    if isinstance(kind, T.StringType):
-        share = min(1.0, SAMPLE_ROWS * parts / max(1, df.count()))
-        some = df.where(F.expr(f"xxhash64({', '.join(f'`{c}`' for c in order)}) & 2147483647") <= int(share * 2147483647)).where(F.col(first).isNotNull())
-        values = [r[0] for r in some.select(first).orderBy(first).collect()]
-        cuts = [values[len(values) * i // parts] for i in range(1, parts)] if values else []
-    else:
-        cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 1000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    range_ = F.lit(0)
-    if cuts:  # how many cuts lie below the value, by binary search
-        powers = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
-        found = F.array(*map(F.lit, cuts))
-        range_ = F.aggregate(powers, F.lit(0), lambda m, b: F.when((m + b <= len(cuts)) & (F.get(found, m + b - 1) < F.col(first)), m + b).otherwise(m))
-    ranged = df.withColumn("_range", range_)
-    counts = ranged.groupBy("_range").count()
-    before = counts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    # at most ``parts`` rows are broadcast
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, local + F.col("_before")).drop("_range", "_before")
+    share = min(1.0, SAMPLE_ROWS * parts / max(1, total))
+    some = df.select(*keys).where(F.expr(f"xxhash64({', '.join(f'`{c}`' for c in keys)}) & 2147483647") <= int(share * 2147483647))
+    rows = some.groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(*keys).collect()
+    drawn, seen, cuts = sum(r[-1] for r in rows), 0, []
+    for r in rows:
+        seen += r[-1]
+        if seen * parts >= drawn * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(tuple(r[:-1]))
+    return cuts
 
 
 def batch(df: DataFrame, n: int, *order: str, item: Column | str = "item", tail: str = "short", within: list[str] | None = None) -> DataFrame:
@@ -58,14 +80,14 @@ def batch(df: DataFrame, n: int, *order: str, item: Column | str = "item", tail:
         raise ValueError("n must be positive")
     value = F.col(item) if isinstance(item, str) else item
     keys = within or []
-    if keys:
-        rows = df.withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    else:
-        rows = numbered(df, *order, name="_number")
+    rows = numbered(df, *order, name="_number", within=keys)
     group = F.expr(f"(_number - 1) div {n}")
     if tail == "single":
-        totals = rows.groupBy(*keys).agg(F.count("*").alias("_total"))
-        rows = rows.join(totals, keys) if keys else rows.crossJoin(F.broadcast(totals))  # one row
+        totals = df.groupBy(*(F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(keys))).agg(F.count("*").alias("_total"))
+        same = F.lit(True)
+        for i, c in enumerate(keys):
+            same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_key{i}"))
+        rows = rows.join(totals, same) if keys else rows.crossJoin(F.broadcast(totals))  # one row
         group = F.expr(f"if(_number <= _total - _total % {n}, (_number - 1) div {n}, _total div {n} + (_number - (_total - _total % {n})) - 1)")
     elif tail != "short":
         raise ValueError("tail must be short or single")
@@ -83,16 +105,12 @@ def sliding(df: DataFrame, n: int, *order: str, item: Column | str = "item", ste
         raise ValueError("n and step must be positive")
     value = F.col(item) if isinstance(item, str) else item
     df = df.withColumn("_value", value)
-    if within:
-        rows = df.withColumn("_number", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("bigint")).withColumn("_own", F.lit(True))
-        frame = Window.partitionBy(*within).orderBy("_number")
-    else:
-        size = max(BLOCK_ROWS, n)
-        rows = numbered(df, *order, name="_number")
-        block = F.expr(f"(_number - 1) div {size}")
-        halo = F.expr(f"if(pmod(_number - 1, {size}) > {size - n}, array((_number - 1) div {size}, (_number - 1) div {size} + 1), array((_number - 1) div {size}))")
-        rows = rows.withColumn("_home", block).withColumn("_block", F.explode(halo)).withColumn("_own", F.col("_home") == F.col("_block"))
-        frame = Window.partitionBy("_block").orderBy("_number")
+    size = max(BLOCK_ROWS, n)
+    rows = numbered(df, *order, name="_number", within=within or [])
+    block = F.expr(f"(_number - 1) div {size}")
+    halo = F.expr(f"if(pmod(_number - 1, {size}) > {size - n}, array((_number - 1) div {size}, (_number - 1) div {size} + 1), array((_number - 1) div {size}))")
+    rows = rows.withColumn("_home", block).withColumn("_block", F.explode(halo)).withColumn("_own", F.col("_home") == F.col("_block"))
+    frame = Window.partitionBy(*(within or []), "_block").orderBy("_number")
     rows = rows.withColumn("items", F.transform(F.collect_list(F.struct("_value")).over(frame.rowsBetween(-(n - 1), 0)), lambda p: p["_value"])).where("_own")
     if not partial:
         rows = rows.where(F.size("items") == n)

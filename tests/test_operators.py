@@ -1,4 +1,6 @@
 import sys
+from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -197,3 +199,35 @@ def test_memo_lookups_and_versions(spark, tmp_path):
     assert sorted(r.output for r in memo.get(keys).collect()) == ["T2", "T3", "T4", "T5"]
     assert memo.apply(df, "up", "1", lambda todo: todo.withColumn("item", F.lower("item"))).where("item = 't0'").count() == 1
     assert len([x for x in (tmp_path / "memo").iterdir() if x.is_dir()]) == 1
+
+
+def test_a_value_that_most_rows_share_is_cut_by_the_next_columns(spark):
+    df = spark.createDataFrame([(1 if i % 10 else i % 7, f"t{i % 50:02d}", Decimal(i), None if i % 3 else i) for i in range(3000)], "a int, s string, d decimal(12,2), x int")
+    got = numbered(df, "a", "s", "d", parts=8)
+    want = sorted((r.a, r.s, r.d) for r in df.collect())
+    assert [(r.a, r.s, r.d) for r in got.orderBy("number").collect()] == want
+    assert sorted(r.number for r in got.collect()) == list(range(1, 3001))
+    cuts = counts.range_cuts(df, ["a", "s", "d"], 8, 3000)
+    assert len(cuts) >= 6 and sum(c[0] == 1 for c in cuts) >= 5
+
+
+@pytest.mark.parametrize("order", ["t", "i"])
+def test_a_hot_key_is_numbered_in_ranges(spark, monkeypatch, order):
+    monkeypatch.setattr(counts, "RANGE_ROWS", 50)
+    monkeypatch.setattr(counts, "BLOCK_ROWS", 40)
+    keys = ["hot" if i % 3 else None if i % 6 else f"k{i % 30}" for i in range(900)]
+    rows = [(k, datetime(2024, 1, 1) + timedelta(hours=i * 7 % 900), i * 7 % 900) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "g string, t timestamp, i int")
+    by = {}
+    for g, _, i in sorted(rows, key=lambda r: r[2]):
+        by.setdefault(g, []).append(i)
+    got = numbered(df, order, within=["g"], name="n")
+    assert sorted(((r.g, r.n, r.i) for r in got.collect()), key=repr) == sorted(((g, n + 1, i) for g, x in by.items() for n, i in enumerate(x)), key=repr)
+    frames = sliding(df, 5, order, item="i", within=["g"]).collect()
+    assert sorted(((r.g, r["items"]) for r in frames), key=repr) == sorted(((g, x[k : k + 5]) for g, x in by.items() for k in range(len(x) - 4)), key=repr)
+    groups = batch(df, 4, order, item="i", within=["g"], tail="single").collect()
+    cut = {g: len(x) - len(x) % 4 for g, x in by.items()}
+    want = [(g, x[k : k + 4]) for g, x in by.items() for k in range(0, cut[g], 4)] + [(g, [v]) for g, x in by.items() for v in x[cut[g] :]]
+    assert sorted(((r.g, r["items"]) for r in groups), key=repr) == sorted(want, key=repr)
+    ranges = counts.range_cuts(df, ["g", order], 4, 900)
+    assert len([c for c in ranges if c[0] == "hot"]) >= 2
