@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: Rows of a block of a sliding window; each block also reads the rows before it that its first windows need.
 BLOCK_ROWS = 10_000
 #: Rows for each range in the sample that cuts ranges; fewer rows than this a range aren't worth another range.
-SAMPLE_ROWS, RANGE_ROWS = 20, 250_000
+SAMPLE_ROWS, RANGE_ROWS = 20, 100_000
 
 
 def numbered(df: DataFrame, *order: str, name: str = "number", parts: int | None = None, within: Sequence[str] = ()) -> DataFrame:
@@ -24,19 +24,25 @@ def numbered(df: DataFrame, *order: str, name: str = "number", parts: int | None
     the number of rows before it (of its key). Cuts come from a sample by hash and only
     balance the work, the numbers don't depend on them. They are found by a count and a
     pass over these columns when the plan is made; without ``parts`` a small table is one
-    range. Where the first column is an array, a map or a struct all is one range.
+    range. Where the first column is binary, an array, a map or a struct all is one range.
     """
     keys = [*within, *order]
     total = df.count()
     if parts is None:
         parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    plain = list(itertools.takewhile(lambda c: not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)), keys))
+    plain = list(itertools.takewhile(lambda c: not isinstance(df.schema[c].dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)), keys))
     cuts = range_cuts(df, plain, parts, total) if parts > 1 and plain else []
+    # columns that tell the cuts apart; by one column, rows with a null are in the first range
+    width = next((i for i in range(1, len(plain) + 1) if len({c[:i] for c in cuts}) == len(cuts)), 1)
+    cuts = [c[:width] for c in cuts if width > 1 or c[0] is not None]
     if not cuts:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("bigint"))
-    kinds = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(plain))
-    found = F.array_sort(F.arrays_zip(*(F.lit(list(values)) for values in zip(*cuts, strict=True))).cast(f"array<struct<{kinds}>>"))
-    own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain)))
+    if width == 1:
+        found, own = F.array_sort(F.lit([c[0] for c in cuts]).cast(T.ArrayType(df.schema[plain[0]].dataType))), F.col(f"`{plain[0]}`")
+    else:
+        kinds = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(plain[:width]))
+        found = F.array_sort(F.arrays_zip(*(F.lit(list(values)) for values in zip(*cuts, strict=True))).cast(f"array<struct<{kinds}>>"))
+        own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(plain[:width])))
     powers = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
     # how many cuts lie below the row, by binary search
     ranged = df.withColumn("_range", F.aggregate(powers, F.lit(0), lambda m, b: F.when((m + b <= len(cuts)) & (F.get(found, m + b - 1) < own), m + b).otherwise(m)))

@@ -231,3 +231,12 @@ def test_a_hot_key_is_numbered_in_ranges(spark, monkeypatch, order):
     assert sorted(((r.g, r["items"]) for r in groups), key=repr) == sorted(want, key=repr)
     ranges = counts.range_cuts(df, ["g", order], 4, 900)
     assert len([c for c in ranges if c[0] == "hot"]) >= 2
+
+
+@pytest.mark.parametrize("shown", [1000, 2])
+def test_nulls_are_numbered_first(spark, shown):
+    """Most rows have no first column, or all."""
+    df = spark.createDataFrame([(i if i % 1000 >= shown else None, i) for i in range(1000)], "a int, i int")
+    got = numbered(df, "a", "i", parts=4).orderBy("number").collect()
+    assert [(r.a, r.i) for r in got] == sorted(((r.a, r.i) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [r.number for r in numbered(df.select("a").distinct(), "a", parts=3).orderBy("a").collect()] == list(range(1, df.select("a").distinct().count() + 1))
